@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, sharding, url_filter
+from . import bpe, language_id, license_scan, mixing, quality, sharding, url_filter
 from .oracle import ORACLES
 
 
@@ -22,6 +22,25 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def tokenizer() -> tuple[str, str]:
+    """Rank file and split pattern of the production tokenizer; the file is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode_decode(_table(spark, sf_dir, "documents"), *tokenizer()))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, sf_dir, "documents"))
 
@@ -31,7 +50,7 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_url_filter, op9_license_scan, op10_external_shuffle)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_url_filter, op6_byte_bpe, op7_language_id, op8_quality_rules, op9_license_scan, op10_external_shuffle)}
 
 
 def oracle_sql() -> dict[str, str]:

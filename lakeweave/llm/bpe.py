@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkernel import Texts, pieces
+from .workers import map_batches
 
 #: Cached transitions and cached pieces of a worker (some 120 and 60 MB); bytes of text in a run.
 TRANSITIONS, PIECES, RUN = 200_000, 1_500_000, 1 << 21
@@ -369,7 +370,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
                 decoded, at = coder.decode(ids)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _binary(ids.astype("<u4"), 4 * first), _binary(decoded, at[first])], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, "doc_id long, ids binary, decoded binary")
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkernel import Texts, pieces
+from .workers import map_batches
 
 DIMENSIONS = 512
 #: Letters a-z have symbols of their own, others share what is left; 0 is what parts words.
@@ -99,7 +100,7 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """Prototypes by language, in code-point order of the languages."""
     training = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sums = training.mapInArrow(_bundles, "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
+    sums = map_batches(training, _bundles, "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
     out: dict[str, np.ndarray] = {}
     for name, place, value in sums.collect():  # languages x DIMENSIONS rows
         out.setdefault(name, np.zeros(DIMENSIONS))[place] = value
@@ -135,7 +136,7 @@ def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
                 best, score = judge(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(names[best], pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), held_out(key).alias("held_out"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), held_out(key).alias("held_out"), F.col(text).cast("string").alias("text")), run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def language_filter(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = LEAST_SCORE) -> DataFrame:

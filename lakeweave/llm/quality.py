@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .textkernel import SPACE, Texts, mix, pieces
+from .workers import map_batches
 
 #: Base rules: least words; most words, in per cent, in WINDOW-word windows that occur twice or more.
 LEAST_WORDS, WINDOW, BASE_PERCENT = 20, 8, 30
@@ -147,7 +148,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
     order = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat"]
     assert names == order
-    return docs.selectExpr(f"cast(`{key}` as long) doc_id", f"cast(`{text}` as string) text").mapInArrow(_measured, _SCHEMA)
+    return map_batches(docs.selectExpr(f"cast(`{key}` as long) doc_id", f"cast(`{text}` as string) text"), _measured, _SCHEMA)
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +164,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Occurrences of the maximal repeated substrings within each text: doc_id, first_word, n_words."""
-    return docs.selectExpr(f"cast(`{key}` as long) doc_id", f"cast(`{text}` as string) text").mapInArrow(_spans, "doc_id long, first_word long, n_words long")
+    return map_batches(docs.selectExpr(f"cast(`{key}` as long) doc_id", f"cast(`{text}` as string) text"), _spans, "doc_id long, first_word long, n_words long")
 
 
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, license_scan, mixing, quality, sharding, url_filter
+from . import bpe, language_id, license_scan, mixing, near_dedup, quality, sharding, url_filter
 from .oracle import ORACLES
 
 
@@ -18,6 +18,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, threshold=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -50,7 +54,7 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_url_filter, op6_byte_bpe, op7_language_id, op8_quality_rules, op9_license_scan, op10_external_shuffle)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_url_filter, op6_byte_bpe, op7_language_id, op8_quality_rules, op9_license_scan, op10_external_shuffle)}
 
 
 def oracle_sql() -> dict[str, str]:

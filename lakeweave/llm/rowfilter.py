@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .textkernel import Texts, pieces
+from .workers import map_batches
 
 
 def keep_rows(docs: DataFrame, text: str, judge: Callable[[Texts], np.ndarray]) -> DataFrame:
@@ -20,4 +21,4 @@ def keep_rows(docs: DataFrame, text: str, judge: Callable[[Texts], np.ndarray])
             for i, j, texts in pieces(batch.column(at)):
                 yield batch.slice(i, j - i).filter(pa.array(np.asarray(judge(texts), bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, license_scan, mixing, near_dedup, quality, sharding, url_filter
+from . import ann, bpe, language_id, license_scan, mixing, near_dedup, quality, sharding, token_output, url_filter
 from .oracle import ORACLES
 
 
@@ -26,6 +26,14 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.training_order(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer() -> tuple[str, str]:
     """Rank file and split pattern of the production tokenizer; the file is installed on every machine."""
     import public_tokenizers
@@ -54,7 +62,7 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_url_filter, op6_byte_bpe, op7_language_id, op8_quality_rules, op9_license_scan, op10_external_shuffle)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_url_filter, op4_nearest, op5_training_order, op6_byte_bpe, op7_language_id, op8_quality_rules, op9_license_scan, op10_external_shuffle)}
 
 
 def oracle_sql() -> dict[str, str]:

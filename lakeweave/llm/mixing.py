@@ -85,21 +85,38 @@ def _thresholds(rows: DataFrame, budgets: DataFrame, n: int) -> DataFrame:
     return state.select("skey", "thr", "got")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Rows (doc_id, size, source_size, target, taken, source)."""
+def _keyed(docs: DataFrame, seed: str, key: str, text: str, source: str) -> list[Column]:
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     skey = F.coalesce(F.concat(F.lit("a"), F.col(source)), F.lit("b"))
-    rows = keep(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), skey.alias("skey"), size.alias("size"), hash60(F.col(key), seed).alias("h")), "mix-rows")
+    return [skey.alias("skey"), size.alias("size"), hash60(F.col(key), seed).alias("h")]
+
+
+def plan_mix(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> tuple[DataFrame, Column]:
+    """rows (skey, size, h) -> figures by source, to be joined to rows on skey, and the copies of a row by them."""
     plan = keep(targets(rows.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
     n = plan.count()
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = plan.select("skey", "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("open"))
-    taken_by = F.lit(False)
+    chosen = F.lit(False)
     for k in range(BUDGETS):
         plan = plan.withColumn(f"limit{k}", F.lit(float("inf")) if k == 0 else F.col("open") / FINER)
-        left = rows.where("size > 0").join(broadcast_below(plan, n, BROADCAST_SOURCES), "skey").where(~taken_by & (F.col("size") <= F.col(f"limit{k}")))
+        left = rows.where("size > 0").join(broadcast_below(plan, n, BROADCAST_SOURCES), "skey").where(~chosen & (F.col("size") <= F.col(f"limit{k}")))
         found = _thresholds(left.select("skey", "h", "size"), plan.select("skey", F.col("open").alias("budget")), n)
         plan = keep(plan.join(found, "skey").withColumn("open", F.col("open") - F.col("got")).withColumnRenamed("thr", f"thr{k}").drop("got"), "mix-plan")
-        taken_by = taken_by | ((F.col("size") <= F.col(f"limit{k}")) & (F.col("h") < F.col(f"thr{k}")))
-    joined = rows.join(broadcast_below(plan, n, BROADCAST_SOURCES), "skey")
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + taken_by.cast("long"))).cast("long").alias("taken"), "source")
+        chosen = chosen | ((F.col("size") <= F.col(f"limit{k}")) & (F.col("h") < F.col(f"thr{k}")))
+    return broadcast_below(plan, n, BROADCAST_SOURCES), F.col("whole") + chosen.cast("long")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Rows (doc_id, size, source_size, target, taken, source)."""
+    rows = keep(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), *_keyed(docs, seed, key, text, source)), "mix-rows")
+    plan, copies = plan_mix(rows, weights, share, most)
+    return rows.join(plan, "skey").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), "source")
+
+
+def mixed_rows(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: each row of docs, with all its columns, as often as the mix takes it."""
+    keyed = docs.select(F.struct("*").alias("row"), *_keyed(docs, seed, key, text, source))
+    plan, copies = plan_mix(keep(keyed.select("skey", "size", "h"), "mix-rows"), weights, share, most)
+    taken = F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("int")
+    return keyed.join(plan, "skey").select("row", F.explode(F.array_repeat(F.lit(0), taken))).select("row.*")

@@ -8,11 +8,11 @@
 3. A sketch of SKETCH two-bit values and the set sizes drop candidates that cannot reach the similarity (sizes exactly;
    the sketch at five standard deviations). The rest are confirmed on the sets of the whole texts.
 4. In large regions, classes outside the component of the region's hubs (most confirmed links) are compared with the
-   hubs: a large group of near copies mostly hangs on its original. Rounds go on while they find links.
+   hubs: a large group of near copies mostly hangs on its original. Each of ROUNDS rounds takes the next HUBS hubs.
 5. Links are closed to components.
 
-Misses: a pair at the threshold similarity s shares no region with probability (1 - s**LEAST_DEPTH)**TREES (2e-8 at
-0.85, 6e-7 at 0.8).
+Misses: a pair at the threshold similarity s shares no region with probability (1 - s**LEAST_DEPTH)**TREES (1e-10 at
+0.85, 3e-8 at 0.8).
 
 Defined results: a document without words has an empty set and is linked with nothing; a null text likewise; with fewer
 than k words the whole sequence is one shingle; repeated rows and equal sets share a component; null keys never are a
@@ -34,10 +34,12 @@ from .store import broadcast_below, keep
 from .textkernel import Texts, mix, pieces
 from .workers import map_batches
 
-TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 22, 4, 3, 8
-SKETCH, HUBS, ROUNDS = 64, 2, 3
+TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 24, 4, 3, 8
+SKETCH, HUBS, ROUNDS = 64, 12, 3
 #: Candidate classes whose texts are found by a broadcast of their keys (some 16 MB); beyond, by a shuffle.
 BROADCAST_CLASSES = 200_000
+#: Keys of dropped or repeated documents, likewise (some 16 MB).
+BROADCAST_KEYS = 1_000_000
 _rng = np.random.default_rng(0xF0357)
 _XOR = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -284,13 +286,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, key: str =
     roots = components(links, "near-components")
 
     regions = keep(found.where("kind = 'h'").select(F.col("a").alias("region"), F.col("b").alias("cls"), "n").distinct(), "near-regions")
-    for _ in range(ROUNDS if regions.limit(1).count() else 0):
-        more = keep(_hub_pairs(regions, links, roots, pairs, threshold), "near-hubs")
+    for turn in range(ROUNDS if regions.limit(1).count() else 0):
+        more = keep(_hub_pairs(regions, links, roots, pairs, threshold, turn), "near-hubs")
         if not more.limit(1).count():
             break
         new = _links(docs, reps, more, k, threshold)
-        if not new.limit(1).count():
-            break
         pairs, links = pairs.unionAll(more), links.unionAll(new)
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(new), "near-components")
 
@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, key: str =
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links")
 
 
-def _hub_pairs(regions: DataFrame, links: DataFrame, roots: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+def _hub_pairs(regions: DataFrame, links: DataFrame, roots: DataFrame, pairs: DataFrame, threshold: int, turn: int) -> DataFrame:
     """In each large region: members outside the hubs' components, paired with the hubs; new pairs only."""
     from pyspark.sql import Window as W
 
@@ -312,13 +312,22 @@ def _hub_pairs(regions: DataFrame, links: DataFrame, roots: DataFrame, pairs: Da
     members = regions.join(degree, "cls", "left").join(roots, F.col("cls") == F.col("node"), "left")
     members = keep(members.select("region", "cls", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root")), "near-members")
     place = F.row_number().over(W.partitionBy("region").orderBy(F.desc("links"), "cls"))
-    hubs = members.withColumn("place", place).where(f"place <= {HUBS} and links > 0").select("region", F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
+    hubs = members.withColumn("place", place).where(f"place > {turn * HUBS} and place <= {(turn + 1) * HUBS} and links > 0").select("region", F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
     near = members.join(hubs, "region").where("root != hub_root").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * threshold)
     return near.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
 
 
 def near_filter(docs: DataFrame, k: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that stay: one of each component. Of rows with equal keys, one stays."""
+    """The rows of docs, with all their columns, that stay: one of each component. Of repeated rows one stays."""
     judged = near_duplicates(docs, k, threshold, key, text)
-    gone = judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    judged = keep(judged.select("doc_id", "kept"), "near-judged")
+    gone = keep(judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
+    again = keep(judged.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")), "near-again")
+    same = F.col(key).cast("long")
+    left = docs.join(broadcast_below(gone, gone.count(), BROADCAST_KEYS), same.eqNullSafe(F.col("_gone")), "left_anti")
+    n = again.count()
+    if not n:
+        return left
+    again = broadcast_below(again, n, BROADCAST_KEYS)
+    repeated = left.join(again, same.eqNullSafe(F.col("_again")), "left_semi").dropDuplicates([key, text])
+    return left.join(again, same.eqNullSafe(F.col("_again")), "left_anti").unionAll(repeated)

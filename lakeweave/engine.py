@@ -79,7 +79,8 @@ class Engine:
         statement, frame, planner = self.submitted.pop(query_id)
         began, rows = time.time(), 0
         yield {"event": "QueryStart", "query_id": query_id}
-        self.spark.addTag(query_id)
+        context = self.spark.sparkContext
+        context.addJobTag(query_id)
         try:
             seen = Observation()
             frame = frame.observe(seen, F.count(F.lit(1)).alias("rows"))
@@ -101,12 +102,12 @@ class Engine:
         except Exception as problem:
             yield {"event": "QueryError", "query_id": query_id, "error": str(problem)}
         finally:
-            self.spark.removeTag(query_id)
+            context.removeJobTag(query_id)
 
     def terminate(self, query_id: str) -> None:
         """Stop the jobs of a query that stream() is running in another thread, and forget one not yet streamed."""
         self.submitted.pop(query_id, None)
-        self.spark.interruptTag(query_id)
+        self.spark.sparkContext.cancelJobsWithTag(query_id)
 
 
 def serve(engine: Engine, port: int = 8000) -> threading.Thread:

@@ -72,6 +72,8 @@ class Lowering:
         if op in ("is", "is not"):
             same = a.col.isNull() if b.kind == "null" else a.col.eqNullSafe(b.col) if common([a.kind, b.kind]) != "string" or a.kind == b.kind else F.lit(False)
             return Typed(~same if op == "is not" else same, "bool")
+        if {a.kind, b.kind} & {"int", "float"}:  # beside a number a boolean counts as 0 or 1
+            a, b = (Typed(x.col.cast("bigint"), "int") if x.kind == "bool" else x for x in (a, b))
         if op in ("=", "!=", "<", ">", "<=", ">="):
             kinds = {a.kind, b.kind}
             if op in ("=", "!=") and "string" in kinds and kinds & {"int", "float", "bool"}:  # never equal

@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkernel import Texts, pieces
-from .workers import map_batches
+from .workers import map_batches, on_release
 
-#: Cached transitions and cached pieces of a worker (some 120 and 60 MB); bytes of text in a run.
-TRANSITIONS, PIECES, RUN = 200_000, 1_500_000, 1 << 21
+#: Cached transitions and cached pieces of a worker (some 100 and 40 MB); bytes of text in a run.
+TRANSITIONS, PIECES, RUN = 100_000, 1_000_000, 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -343,6 +343,7 @@ def _spread(at: np.ndarray, count: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
+on_release(__name__, _codecs.clear)
 
 
 def codec(path: str, pattern: str) -> Codec:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkernel import Texts, pieces
-from .workers import map_batches
+from .workers import map_batches, on_release
 
 DIMENSIONS = 512
 #: Letters a-z have symbols of their own, others share what is left; 0 is what parts words.
@@ -30,6 +30,7 @@ SYMBOLS = 64
 #: A document is rejected by the filter if its best cosine is below this.
 LEAST_SCORE = 0.05
 _made: dict[str, np.ndarray] = {}
+on_release(__name__, _made.clear)
 
 
 def _symbols() -> np.ndarray:

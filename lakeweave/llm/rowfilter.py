@@ -21,4 +21,4 @@ def keep_rows(docs: DataFrame, text: str, judge: Callable[[Texts], np.ndarray])
             for i, j, texts in pieces(batch.column(at)):
                 yield batch.slice(i, j - i).filter(pa.array(np.asarray(judge(texts), bool)))
 
-    return map_batches(docs, run, docs.schema)
+    return map_batches(docs, run, docs.schema, judge.__module__)

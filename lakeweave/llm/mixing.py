@@ -3,7 +3,7 @@
 Each source's target is met by whole copies of all its documents and, for the rest, by the documents whose hash lies
 below a threshold. The threshold is found without sorting: sizes are summed by source and hash bucket, the bucket in
 which the budget ends is found, and only that bucket is refined, by the next digits of the hash. Nested budgets follow:
-what the boundary document leaves open is filled the same way from documents of at most a quarter of it.
+what the boundary document leaves open is filled the same way from documents that are no larger.
 
 Defined results: a null text has size 0; a null source is a source, last in order; a null key hashes as the text
 'null'; rows of equal key are taken or left together; sources without words have target 0; an empty table gives an
@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Production parameters: weights by a source's place, share of all words, most copies of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Digits of the hash: LEVELS steps of STEP bits. Budgets: the first over all, each next over documents of at most 1 / FINER of what is open.
-STEP, LEVELS, BUDGETS, FINER = 12, 5, 3, 4
+STEP, LEVELS, BUDGETS, FINER = 12, 5, 5, 1
 BITS = STEP * LEVELS
 #: Per-source figures are broadcast up to so many sources (some 20 MB); beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 100_000

@@ -27,7 +27,7 @@ from .store import keep
 from .workers import map_batches
 
 #: Sample bound, pivots posted per vector, fraction and least number of a block's entries that are reranked.
-PIVOTS, POSTED, RERANK, LEAST = 128, 96, 0.1, 256
+PIVOTS, POSTED, RERANK, LEAST = 128, 96, 0.1, 512
 #: Reranked as well: all entries whose footrule is below CLOSE times the block's FAR quantile, so that a crowd of near
 #: equal vectors is told apart by distance. Sampled vectors within APART of the median distance share one pivot.
 CLOSE, FAR, APART = 0.45, 0.9, 0.6

@@ -113,7 +113,7 @@ def _sequences(total: int, stride: int, records: int, seed: int):
 
 
 def training_order(docs: DataFrame, stride: int = STRIDE, records: int = RECORDS, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (slot, shard, record, doc_id, seq_no, n_tokens, ids), sorted by slot within partitions; a shard is in one partition."""
+    """Rows (slot, shard, record, doc_id, seq_no, n_tokens, ids), sorted by slot within partitions (by shard first, as the writer of shard folders asks); a shard is in one partition."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     named = docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("text"))
     k1, k2 = F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2")
@@ -125,7 +125,7 @@ def training_order(docs: DataFrame, stride: int = STRIDE, records: int = RECORDS
     placed = whole.join(starts.select("k1", "k2", "start"), ["k1", "k2"]).select("doc_id", "text", "start", "copies")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = map_batches(placed, _sequences(max(total, 1), stride, records, seed), _SCHEMA)
-    return cut.repartition(tasks, "shard").sortWithinPartitions("slot")
+    return cut.repartition(tasks, "shard").sortWithinPartitions("shard", "slot")
 
 
 def write_shards(sequences: DataFrame, path: str) -> None:

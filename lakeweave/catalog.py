@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import QueryError
@@ -12,7 +13,7 @@ from .errors import QueryError
 
 class Catalog:
     def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.spark, self.frames = spark, {}
+        self.spark, self.frames, self.files, self.folder = spark, {}, {}, None
         if folder:
             self.add_folder(folder)
 
@@ -20,14 +21,14 @@ class Catalog:
         self.frames[name] = frame
 
     def add_folder(self, folder: str) -> None:
-        """Every <name>.parquet in a folder that the driver can list; others are found by path when used."""
+        """Every <name>.parquet in a folder is a table, read when a query names it."""
         self.folder = folder.rstrip("/")
-        if os.path.isdir(folder):
-            for x in sorted(os.listdir(folder)):
-                if x.endswith(".parquet"):
-                    self.frames[x[: -len(".parquet")]] = self.spark.read.parquet(f"{self.folder}/{x}")
+        if os.path.isdir(folder):  # other stores are asked for a name when it is used
+            self.files |= {x.removesuffix(".parquet"): f"{self.folder}/{x}" for x in os.listdir(folder) if x.endswith(".parquet")}
 
     def find(self, parts: tuple[str, ...]) -> DataFrame:
+        if len(parts) == 1 and parts[0] in self.files and parts[0] not in self.frames:
+            self.frames[parts[0]] = self.spark.read.parquet(self.files[parts[0]])
         if len(parts) == 1 and parts[0] in self.frames:
             return self.frames[parts[0]]
         name = ".".join(f"`{p}`" for p in parts[-2:])
@@ -35,16 +36,18 @@ class Catalog:
             return self.spark.table(name)
         if len(parts) > 1 and parts[-1] in self.frames:
             return self.frames[parts[-1]]
-        if len(parts) == 1 and getattr(self, "folder", None):
+        if len(parts) == 1 and self.folder and not self.files:
             try:
                 return self.spark.read.parquet(f"{self.folder}/{parts[0]}.parquet")
-            except Exception:
+            except AnalysisException:  # no such path
                 pass
         raise QueryError(f"Table `{'.'.join(parts)}` does not exist")
 
     def create(self, parts: tuple[str, ...], frame: DataFrame) -> None:
         """Write beside the old table and swap, so that a query may read the table it replaces."""
-        self.frames.pop(parts[-1], None) if len(parts) == 1 else None
+        if len(parts) == 1:  # the new table takes the name
+            self.frames.pop(parts[0], None)
+            self.files.pop(parts[0], None)
         where = f"`{parts[-2]}`." if len(parts) > 1 else ""
         if where:
             self.spark.sql(f"create database if not exists `{parts[-2]}`")

@@ -46,11 +46,8 @@ def _cell(x):
         return tuple(map(_cell, x))
     if pd.isna(x):
         return None
-    if isinstance(x, bool) or type(x).__name__ == "bool_":
-        return bool(x)
-    if isinstance(x, (int, float)) or hasattr(x, "item"):
-        return f"{float(x):.9g}"
-    return str(x)
+    x = x.item() if hasattr(x, "item") else x
+    return f"{float(x):.9g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else x if isinstance(x, bool) else str(x)
 
 
 def rows(pdf):

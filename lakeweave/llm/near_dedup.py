@@ -35,7 +35,7 @@ from .textkernel import Texts, mix, pieces
 from .workers import map_batches
 
 TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 24, 4, 3, 8
-SKETCH, HUBS, ROUNDS = 64, 12, 3
+SKETCH, HUBS, ROUNDS = 64, 4, 3
 #: Candidate classes whose texts are found by a broadcast of their keys (some 16 MB); beyond, by a shuffle.
 BROADCAST_CLASSES = 200_000
 #: Keys of dropped or repeated documents, likewise (some 16 MB).

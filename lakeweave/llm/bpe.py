@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .textkernel import Texts, pieces
 from .workers import map_batches, on_release
 
-#: Cached transitions and cached pieces of a worker (some 100 and 40 MB); bytes of text in a run.
-TRANSITIONS, PIECES, RUN = 100_000, 1_000_000, 1 << 20
+#: Cached transitions and cached pieces of a worker (some 80 and 25 MB); bytes of text in a run.
+TRANSITIONS, PIECES, RUN = 80_000, 600_000, 1 << 19
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

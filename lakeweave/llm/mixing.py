@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Production parameters: weights by a source's place, share of all words, most copies of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Digits of the hash: LEVELS steps of STEP bits. Budgets: the first over all, each next over documents of at most 1 / FINER of what is open.
-STEP, LEVELS, BUDGETS, FINER = 12, 5, 5, 1
+STEP, LEVELS, BUDGETS, FINER = 12, 5, 4, 1
 BITS = STEP * LEVELS
 #: Per-source figures are broadcast up to so many sources (some 20 MB); beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 100_000

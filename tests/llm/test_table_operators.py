@@ -32,7 +32,7 @@ def test_mix(spark, which):
     assert math.isclose(sources.target.sum(), 1.5 * got["size"].sum())
     assert (got.taken <= 2 * got["size"]).all() and (sources.target <= 2 * sources.source_size + 1e-9).all()
     if which != "edge":
-        near = 0.02 if which == "sf0.01" else 0.01  # 50 documents a source: what is open may be smaller than any document
+        near = 0.025 if which == "sf0.01" else 0.01  # 50 documents a source: what is open is smaller than any document left
         assert ((sources.taken - sources.target).abs() <= near * sources.target).all()
     assert rows(mixing.mix(docs.repartition(7)).toPandas()) == rows(got)
 

@@ -9,7 +9,10 @@
    the sketch at five standard deviations). The rest are confirmed on the sets of the whole texts.
 4. In large regions, classes outside the component of the region's hubs (most confirmed links) are compared with the
    hubs: a large group of near copies mostly hangs on its original. Each of ROUNDS rounds takes the next HUBS hubs.
-5. Links are closed to components.
+   This only saves work in step 5.
+5. In large regions, all pairs of classes in different components go through step 3, whatever their number; pairs within
+   a component can't change it. Regions of more than BLOCK classes are dealt as pairs of blocks.
+6. Links are closed to components.
 
 Misses: a pair at the threshold similarity s shares no region with probability (1 - s**LEAST_DEPTH)**TREES (1e-10 at
 0.85, 3e-8 at 0.8).
@@ -36,6 +39,8 @@ from .workers import map_batches
 
 TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 24, 4, 3, 8
 SKETCH, HUBS, ROUNDS = 64, 4, 3
+#: Members of a large region that are compared in one step; a larger region is dealt as pairs of such blocks.
+BLOCK = 4096
 #: Candidate classes whose texts are found by a broadcast of their keys (some 16 MB); beyond, by a shuffle.
 BROADCAST_CLASSES = 200_000
 #: Keys of dropped or repeated documents, likewise (some 16 MB).
@@ -128,13 +133,18 @@ def _sign(k: int):
 _FOUND = "kind string, a binary, b binary, tree int, s binary, n long, sketch binary"
 
 
+def _least(threshold: int) -> int:
+    """Equal sketch values that a pair at the threshold has at five standard deviations below the mean."""
+    return int(SKETCH * (0.25 + 0.75 * threshold / 100) - 5 * (SKETCH * (0.25 + 0.75 * threshold / 100) * (0.75 - 0.75 * threshold / 100)) ** 0.5)
+
+
 def _neighbours(threshold: int, fringe: bool):
     """Candidates among sorted rows (tree, s, cls, n, sketch): kind p.
 
     With fringe, also the first and last rows of the partition, whose neighbours may lie in the next one (f), and the
     members of large regions (h: a is the region's key, b the class).
     """
-    least = int(SKETCH * (0.25 + 0.75 * threshold / 100) - 5 * (SKETCH * (0.25 + 0.75 * threshold / 100) * (0.75 - 0.75 * threshold / 100)) ** 0.5)
+    least = _least(threshold)
     ones = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
     def record(**c):
@@ -186,7 +196,7 @@ def _neighbours(threshold: int, fringe: bool):
                 big = np.repeat(sizes > NEIGHBOURS, sizes)
                 if big.any():
                     at = np.flatnonzero(big)
-                    yield record(kind=kinds("h", len(at)), a=_fixed(_bytes(key[at])), b=_fixed(cols[2][at]), n=pa.array(cols[3][at]))
+                    yield record(kind=kinds("h", len(at)), a=_fixed(_bytes(key[at])), b=_fixed(cols[2][at]), n=pa.array(cols[3][at]), sketch=_fixed(cols[4][at]))
             held = [c[-NEIGHBOURS:] for c in cols]
         if fringe and held is not None:
             yield record(kind=kinds("f", len(held[0])), tree=pa.array(held[0]), s=_fixed(held[1]), b=_fixed(held[2]), n=pa.array(held[3]), sketch=_fixed(held[4]))
@@ -194,6 +204,62 @@ def _neighbours(threshold: int, fringe: bool):
     return run
 
 
+def _across(threshold: int):
+    """Rows (region, lo, hi, i, cls, n, sketch, root), sorted by the first three -> candidates (a, b) of different roots.
+
+    Rows of one (region, lo, hi) are two blocks of a region, i = lo and i = hi, or one block where lo = hi.
+    """
+    least, odd = _least(threshold), np.uint64(0x5555555555555555)
+
+    def cross(left, right, cls, n, sketch, code):
+        for at in range(0, len(left), 64):
+            u = left[at : at + 64]
+            x = sketch[u][:, None, :] ^ sketch[right][None, :, :]
+            same = SKETCH - np.bitwise_count((x | x >> np.uint64(1)) & odd).sum(2, dtype=np.int64)
+            small, large = np.minimum(n[u][:, None], n[right]), np.maximum(n[u][:, None], n[right])
+            i, j = np.nonzero((same >= least) & (small * 100 >= large * threshold) & (code[u][:, None] != code[right]))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([_fixed(cls[u[i]]), _fixed(cls[right[j]])], ["a", "b"])
+
+    def group(one, i, cls, n, sketch, root):
+        code = np.unique(root.view(f"V{root.shape[1]}").ravel(), return_inverse=True)[1].ravel()
+        main = code == np.bincount(code).argmax()
+        sketch = np.ascontiguousarray(sketch).view(np.uint64)
+        if one:
+            # Each pair once: those with the largest component, then those of the others by blocks of rows.
+            rest = np.flatnonzero(~main)
+            yield from cross(rest, np.flatnonzero(main), cls, n, sketch, code)
+            for at in range(0, len(rest), 64):
+                yield from cross(rest[at : at + 64], rest[at:], cls, n, sketch, code)
+        else:
+            low = i == i.min()
+            yield from cross(np.flatnonzero(low & ~main), np.flatnonzero(~low), cls, n, sketch, code)
+            yield from cross(np.flatnonzero(~low & ~main), np.flatnonzero(low & main), cls, n, sketch, code)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = np.stack([np.asarray(batch.column(c)) for c in (1, 2)], 1).astype(np.int32)
+            key = np.concatenate([_matrix(batch.column(0), 1 + 4 * LEAST_DEPTH), _bytes(ends)], 1)
+            cols = [key, np.asarray(batch.column(3)), _matrix(batch.column(4), 16), np.asarray(batch.column(5)), _matrix(batch.column(6), SKETCH // 4), _matrix(batch.column(7), 16)]
+            if held is not None:
+                cols = [np.concatenate([a, b]) for a, b in zip(held, cols)]
+            edge = np.flatnonzero(np.concatenate([[True], (cols[0][1:] != cols[0][:-1]).any(1)]))
+            for x, y in zip(edge[:-1], edge[1:]):
+                yield from group(_one(cols[0][x]), *(c[x:y] for c in cols[1:]))
+            held = [c[edge[-1] :].copy() for c in cols]
+        if held is not None:
+            yield from group(_one(held[0][0]), *held[1:])
+
+    return run
+
+
+def _one(key: np.ndarray) -> bool:
+    return bool((key[-8:-4] == key[-4:]).all())
+
+
 def _key(tree: np.ndarray, s: np.ndarray) -> np.ndarray:
     """A region's key: tree and the first LEAST_DEPTH values."""
     out = np.zeros((len(tree), 1 + 4 * LEAST_DEPTH), np.uint8)
@@ -285,7 +351,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, key: str =
     links = _links(docs, reps, pairs, k, threshold)
     roots = components(links, "near-components")
 
-    regions = keep(found.where("kind = 'h'").select(F.col("a").alias("region"), F.col("b").alias("cls"), "n").distinct(), "near-regions")
+    regions = keep(found.where("kind = 'h'").select(F.col("a").alias("region"), F.col("b").alias("cls"), "n", "sketch").distinct(), "near-regions")
     for turn in range(ROUNDS if regions.limit(1).count() else 0):
         more = keep(_hub_pairs(regions, links, roots, pairs, threshold, turn), "near-hubs")
         if not more.limit(1).count():
@@ -293,6 +359,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, key: str =
         new = _links(docs, reps, more, k, threshold)
         pairs, links = pairs.unionAll(more), links.unionAll(new)
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(new), "near-components")
+    more = keep(_open_pairs(regions, roots, pairs, threshold, tasks), "near-open")
+    if more.limit(1).count():
+        new = _links(docs, reps, more, k, threshold)
+        links = links.unionAll(new)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(new), "near-components")
 
     degree = links.select(F.col("a").alias("cls")).unionAll(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
     tied = keep(reps.join(roots, reps["cls"] == roots["node"], "left").join(degree, "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"), F.coalesce("links", F.lit(0)).alias("n_links")), "near-tied")
@@ -317,6 +388,18 @@ def _hub_pairs(regions: DataFrame, links: DataFrame, roots: DataFrame, pairs: Da
     return near.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
 
 
+def _open_pairs(regions: DataFrame, roots: DataFrame, pairs: DataFrame, threshold: int, tasks: int) -> DataFrame:
+    """In each large region: all pairs of different components that sizes and sketches leave open; new pairs only."""
+    members = regions.join(roots, F.col("cls") == F.col("node"), "left").select("region", "cls", "n", "sketch", F.coalesce("root", "cls").alias("root"))
+    members = keep(members, "near-members")
+    mixed = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
+    placed = members.join(mixed.select("region", F.expr(f"cast((size - 1) div {BLOCK} + 1 as int)").alias("blocks")), "region").withColumn("i", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
+    dealt = placed.withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).select("region", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "cls", "n", "sketch", "root")
+    dealt = dealt.repartition(tasks, "region", "lo", "hi").sortWithinPartitions("region", "lo", "hi")
+    found = map_batches(dealt, _across(threshold), "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+
+
 def near_filter(docs: DataFrame, k: int = 5, threshold: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that stay: one of each component. Of repeated rows one stays."""
     judged = near_duplicates(docs, k, threshold, key, text)

@@ -105,6 +105,18 @@ def test_near_duplicates_large_group(spark):
     assert sorted(map(tuple, got), key=repr) == components_of(texts, 3, 85)
 
 
+@pytest.mark.parametrize("kind", ["chain", "pairs"])
+def test_near_duplicates_crowd(spark, kind):
+    """Texts of one region, at 0.82 among themselves: each linked, at 0.86, to the next one only, or in pairs."""
+    texts = []
+    for i in range(160):
+        own = range(22 * i, 22 * i + 30) if kind == "chain" else [*range(60 * (i // 2), 60 * (i // 2) + 8), *range(10_000 + 22 * i, 10_022 + 22 * i)]
+        texts.append((i, " ".join([f"p{x}" for x in range(270)] + [f"{kind}{x}" for x in own])))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs, 1, 85).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got), key=repr) == components_of(texts, 1, 85)
+
+
 def test_near_filter(spark):
     docs = edge_docs(spark)
     kept = near_dedup.near_filter(docs)

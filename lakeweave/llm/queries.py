@@ -31,7 +31,7 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.training_order(_table(spark, sf_dir, "documents"))
+    return token_output.training_order(_table(spark, sf_dir, "documents"), tokenizer=tokenizer())
 
 
 def tokenizer() -> tuple[str, str]:

@@ -4,9 +4,9 @@ Texts become token ids, ids are cut into sequences of STRIDE ids, and a keyed Fe
 gives every sequence a global slot. Slot s is record s mod RECORDS of shard s div RECORDS; records have a fixed length,
 so a reader seeks to any slot and resumes from a slot number alone.
 
-Sequences are numbered by document key and text, so slots depend on neither partitions nor file layout. Production ids
-are the bytes of the text, with ids that UTF-8 never uses for the end of a text and for padding; another tokenizer (the
-byte-level BPE codec) can be given.
+Sequences are numbered by document key and text (or its ids), so slots depend on neither partitions nor file layout. With
+a tokenizer (rank file and split pattern of the byte-level BPE codec, as production has) ids are little-endian unsigned
+16-bit numbers; without one they are the bytes of the text. Two ids that neither uses end a text and pad a sequence.
 
 Defined results: a null or empty text is one sequence with the end mark only; repeated rows are sequences of their own;
 null keys come first in the numbering; an empty table gives no sequences; other columns are ignored; long texts become
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from . import bpe
 from .store import keep
 from .textkernel import mix, pieces
 from .workers import map_batches
@@ -29,6 +30,8 @@ from .workers import map_batches
 STRIDE, RECORDS, SEED, ROUNDS = 1024, 8192, 20240607, 6
 #: Ids of the byte tokenizer that no UTF-8 text holds.
 END, PAD = 255, 254
+#: Those of 16-bit ids; a larger vocabulary is refused.
+END_ID, PAD_ID = 65535, 65534
 _SCHEMA = "slot long, shard int, record int, doc_id long, seq_no long, n_tokens int, ids binary"
 
 
@@ -81,26 +84,40 @@ def _running(table: DataFrame, order: list[str], value: str) -> tuple[DataFrame,
     return dealt.withColumn("start", base + inside), total
 
 
-def byte_tokens(texts) -> tuple[np.ndarray, np.ndarray]:
-    return texts.data, texts.offsets
+def _encode(path: str, pattern: str):
+    """Rows (doc_id, text) -> (doc_id, text), whose text is the 16-bit ids as binary."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = bpe.codec(path, pattern)
+        for batch in batches:
+            for i, j, texts in pieces(batch.column(1), bpe.RUN):
+                ids, first = coder.encode(texts)
+                if len(ids) and int(ids.max()) >= PAD_ID:
+                    raise ValueError(f"token id {int(ids.max())} does not fit below {PAD_ID}")
+                body = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((2 * first).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), body], ["doc_id", "text"])
+
+    return run
+
+
+def _sequences(total: int, stride: int, records: int, seed: int, width: int):
+    end, pad, kind = (END, PAD, np.dtype(np.uint8)) if width == 1 else (END_ID, PAD_ID, np.dtype("<u2"))
 
-def _sequences(total: int, stride: int, records: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         permute = Permutation(total, seed)
         for batch in batches:
             for i, j, texts in pieces(batch.column(1), 1 << 21):
-                ids, first = byte_tokens(texts)
+                ids, first = np.ascontiguousarray(texts.data).view(kind), texts.offsets // width
                 length = np.diff(first) + 1
                 count = -(-length // stride)
                 at = np.cumsum(count) - count
                 row = np.repeat(np.arange(texts.n), count)
-                flat = np.full(int(count.sum()) * stride, PAD, np.uint8)
+                flat = np.full(int(count.sum()) * stride, pad, kind)
                 flat[np.arange(len(ids)) + np.repeat(at * stride - first[:-1], np.diff(first))] = ids
-                flat[at * stride + length - 1] = END
+                flat[at * stride + length - 1] = end
                 seq = np.arange(len(row)) - at[row]
                 used = np.minimum(length[row] - seq * stride, stride).astype(np.int32)
-                body = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.arange(0, (len(row) + 1) * stride, stride, dtype=np.int32)), pa.py_buffer(flat)])
+                body = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.arange(0, (len(row) + 1) * stride * width, stride * width, dtype=np.int32)), pa.py_buffer(flat)])
                 doc = batch.column(0).slice(i, j - i).take(pa.array(row))
                 start, copies = np.asarray(batch.column(2))[i:j], np.asarray(batch.column(3))[i:j]
                 for c in range(int(copies.max())):
@@ -112,31 +129,38 @@ def _sequences(total: int, stride: int, records: int, seed: int):
     return run
 
 
-def training_order(docs: DataFrame, stride: int = STRIDE, records: int = RECORDS, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
+def training_order(docs: DataFrame, stride: int = STRIDE, records: int = RECORDS, seed: int = SEED, key: str = "doc_id", text: str = "text", tokenizer: tuple[str, str] | None = None) -> DataFrame:
     """Rows (slot, shard, record, doc_id, seq_no, n_tokens, ids), sorted by slot within partitions (by shard first, as the writer of shard folders asks); a shard is in one partition."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     named = docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("text"))
+    width = 1
+    if tokenizer:
+        width, named = 2, keep(map_batches(named, _encode(*tokenizer), "doc_id long, text binary"), "slots-tokens")
     k1, k2 = F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2")
-    count = F.expr(f"(octet_length(text) + {stride}) div {stride}").alias("n")
+    count = F.expr(f"(octet_length(text) div {width} + {stride}) div {stride}").alias("n")
     narrow = named.select("doc_id", k1, k2, count).groupBy("doc_id", "k1", "k2").agg((F.first("n") * F.count(F.lit(1))).alias("n"))
     starts, total = _running(narrow, ["doc_id", "k1", "k2"], "n")
     # Rows that repeat are aggregated before they are shuffled; the join keys are the grouping keys, so texts move once.
     whole = named.select("doc_id", "text", k1, k2).groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     placed = whole.join(starts.select("k1", "k2", "start"), ["k1", "k2"]).select("doc_id", "text", "start", "copies")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = map_batches(placed, _sequences(max(total, 1), stride, records, seed), _SCHEMA)
+    cut = map_batches(placed, _sequences(max(total, 1), stride, records, seed, width), _SCHEMA)
     return cut.repartition(tasks, "shard").sortWithinPartitions("shard", "slot")
 
 
 def write_shards(sequences: DataFrame, path: str) -> None:
     """Write shard folders shard=0, shard=1, ... of one file each: records of STRIDE ids and a line feed, in slot order.
 
-    Record r of a shard begins at byte r * (STRIDE + 1). Spark's writer commits the files, so tasks may be repeated.
+    Record r of a shard begins at byte r * (STRIDE * width + 1), with width bytes an id. Spark's writer commits the files, so tasks may be repeated.
     """
     sequences.select(F.col("ids").cast("string").alias("value"), "shard").write.partitionBy("shard").text(path)
 
 
-def read_records(data: bytes, first: int = 0, stride: int = STRIDE) -> Iterator[bytes]:
-    """The records of a shard file's bytes from record `first` on, without padding."""
-    for at in range(first * (stride + 1), len(data), stride + 1):
-        yield data[at : at + stride].rstrip(bytes([PAD]))
+def read_records(data: bytes, first: int = 0, stride: int = STRIDE, width: int = 1) -> Iterator[bytes]:
+    """The records of a shard file's bytes from record `first` on, without padding; an id has width bytes."""
+    pad, size = (PAD if width == 1 else PAD_ID).to_bytes(width, "little"), stride * width
+    for at in range(first * (size + 1), len(data), size + 1):
+        used = size
+        while data[at + used - width : at + used] == pad and used:
+            used -= width
+        yield data[at : at + used]

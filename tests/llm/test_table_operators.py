@@ -254,6 +254,19 @@ def test_training_order(spark, which, tmp_path):
     assert token_output.training_order(empty_docs(spark)).count() == 0
 
 
+def test_training_order_tokens(spark):
+    """The query's sequences are ids of the production tokenizer."""
+    from lakeweave.llm import bpe
+
+    coder = bpe.codec(*llm.tokenizer())
+    ids = defaultdict(list)
+    for r in llm.op5_training_order(spark, SF).collect():
+        assert len(r.ids) == 2 * token_output.STRIDE
+        ids[r.doc_id].append((r.seq_no, np.frombuffer(bytes(r.ids), "<u2")[: r.n_tokens].tolist()))
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        assert sum((x for _, x in sorted(ids[r.doc_id])), []) == coder.encode_text(r.text or "") + [token_output.END_ID]
+
+
 # Sharding
 @pytest.mark.parametrize("which", ["edge", "sf", "copies"])
 def test_sharding(spark, which, monkeypatch):

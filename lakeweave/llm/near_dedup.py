@@ -15,7 +15,7 @@
 6. Links are closed to components.
 
 Misses: a pair at the threshold similarity s shares no region with probability (1 - s**LEAST_DEPTH)**TREES (1e-10 at
-0.85, 3e-8 at 0.8), or the sketch drops it (some 3e-7 by the normal law). The window of neighbours loses none in regions
+0.85, 3e-8 at 0.8), or the sketch drops it (4e-6 and 2e-6). The window of neighbours loses none in regions
 that step 5 closes; a region cut by a border between range partitions into parts of at most NEIGHBOURS classes each is not
 among these.
 

@@ -3,12 +3,15 @@
 The merges of a rank file say which tokens may stand next to each other: a sequence of tokens is the encoding of its
 bytes exactly if every token encodes itself and every adjacent pair is what the merges make of the pair's bytes. That
 gives a non-deterministic transducer: read bytes along the tokens' trie, guess each token's end, keep guesses whose
-pairs are allowed. It is determinised as texts need it: a state is the set of live guesses, each with the tokens not
-yet emitted; what all guesses agree on is emitted at once, so the lookahead is bounded by the longest token. States and
-transitions are cached up to a size, then dropped and built anew; results don't depend on that.
-
-Defined results: a null text encodes as an empty one (no ids); repeated rows alike, each by itself; an empty table gives
-an empty result; other columns are ignored. Texts are encoded whole, in runs of about a megabyte.
+pairs are allowed. As every prefix has one encoding, one guess at most ends a token after each byte. It is determinised
+as texts need it: a state is the set of live guesses (the token before, the place in the trie), a transition gives the
+next state and the last token of the prefix read so far. A token is emitted when all live guesses agree on it, which
+the longest token bounds: after LOOK more bytes at the latest. States and transitions are cached up to a size, then
+dropped and built anew; results don't depend on that.
+
+Defined results: a null text encodes as an empty one (no ids); repeated rows alike, each by itself; ties of ranks go to the
+left, as the merges say; an empty table gives an empty result; other columns are ignored, whatever their names. Texts are
+encoded whole, however long, in runs of whole texts of about half a megabyte.
 """
 
 from __future__ import annotations
@@ -21,11 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lanes import Lanes
 from .textkernel import Texts, pieces
 from .workers import map_batches, on_release
 
-#: Cached transitions and cached pieces of a worker (some 80 and 25 MB); bytes of text in a run.
-TRANSITIONS, PIECES, RUN = 80_000, 600_000, 1 << 19
+#: Cached transitions and cached pieces of a worker (some 60 and 40 MB); bytes of text in a run.
+TRANSITIONS, PIECES, RUN = 120_000, 600_000, 1 << 20
+#: Bytes of a piece after which what all guesses agree on is emitted.
+LOOK = 4096
+_NODE = (1 << 32) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -51,14 +58,17 @@ class Transducer:
                     self.token_at.append(-1)
                     self.inner.append(False)
             self.token_at[node] = i
+        self.size = [len(b) for b in self.bytes_of]
+        self.longest = max(self.size, default=1)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.made: dict[int, tuple | None] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.states: list[tuple] = [((-1, 0, ()),)]
+        """Forget states and transitions. A guess is (token before + 1) << 32 | place in the trie."""
+        self.states: list[tuple[int, ...]] = [(0,)]
         self.number = {self.states[0]: 0}
-        self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.step: dict[int, tuple[int, int]] = {}
 
     def merge(self, body: bytes, pairs: list | None = None) -> list[int]:
         """What the merges make of a few bytes, by definition; `pairs` gets the merged pairs in order."""
@@ -117,47 +127,45 @@ class Transducer:
         self.pairs[a, b] = found
         return found
 
-    def _advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _advance(self, state: int, byte: int) -> tuple[int, int]:
+        """The state after a byte, and the last token of the prefix that ends there."""
         child, token_at, inner, pairs = self.child, self.token_at, self.inner, self.pairs
-        live, empty = [], False
-        for before, node, held in self.states[state]:
-            node = child.get(node << 8 | byte)
+        live, last = [], -1
+        for guess in self.states[state]:
+            node = child.get((guess & _NODE) << 8 | byte)
             if node is None:
                 continue
-            token = token_at[node]
-            if token >= 0:
-                fits = pairs.get((before, token))
-                if fits is None:
-                    fits = self.allowed(before, token)
-                if fits:
-                    live.append((token, 0, (*held, token)))
+            if last < 0:
+                token = token_at[node]
+                if token >= 0:
+                    before = (guess >> 32) - 1
+                    fits = pairs.get((before, token))
+                    if fits is None:
+                        fits = self.allowed(before, token)
+                    if fits:
+                        last = token
             if inner[node]:
-                live.append((before, node, held))
-                if not held:
-                    empty = True
-        emitted: tuple[int, ...] = ()
-        if not empty:
-            emitted = live[0][2]
-            for x in live[1:]:
-                held, shared = x[2], 0
-                for u, v in zip(emitted, held):
-                    if u != v:
-                        break
-                    shared += 1
-                emitted = emitted[:shared]
-                if not shared:
-                    break
-            if emitted:
-                n = len(emitted)
-                live = [(b, node, h[n:]) for b, node, h in live]
+                live.append(guess >> 32 << 32 | node)
+        if last < 0:
+            raise ValueError("bytes that no token covers")
+        live.append(last + 1 << 32)
         new = tuple(live)
         to = self.number.get(new)
         if to is None:
             to = self.number[new] = len(self.states)
             self.states.append(new)
-        self.step[state << 8 | byte] = found = (to, emitted)
+        self.step[state << 8 | byte] = found = (to, last)
         return found
 
+    def _path(self, lasts: list[int], end: int) -> list[int]:
+        """The tokens of the prefix that ends there, backwards."""
+        out, size = [], self.size
+        while end > 0:
+            token = lasts[end - 1]
+            out.append(token)
+            end -= size[token]
+        return out
+
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one match of the split pattern; a match that is a token is that token."""
         whole = self.ranks.get(piece)
@@ -166,17 +174,33 @@ class Transducer:
         if len(self.step) > TRANSITIONS:
             self.clear()
         out: list[int] = []
+        lasts: list[int] = []
         state, step = 0, self.step
         for byte in piece:
             found = step.get(state << 8 | byte)
-            state, emitted = found if found is not None else self._advance(state, byte)
-            if emitted:
-                out += emitted
-        for _, node, held in self.states[state]:
-            if node == 0:
-                out += held
-                return out
-        raise ValueError("bytes that no token covers")
+            state, last = found if found is not None else self._advance(state, byte)
+            lasts.append(last)
+            if len(lasts) >= LOOK:
+                lasts = self._emit(lasts, out)
+                if len(step) > 2 * TRANSITIONS:
+                    guesses = self.states[state]
+                    self.clear()
+                    step = self.step
+                    state = self.number.setdefault(guesses, 1)
+                    self.states.append(guesses)
+        out += reversed(self._path(lasts, len(lasts)))
+        return out
+
+    def _emit(self, lasts: list[int], out: list[int]) -> list[int]:
+        """Emit the tokens that the encodings of all prefixes a live guess may start from share; what is left of lasts."""
+        reach = len(lasts)
+        shared = self._path(lasts, reach)[::-1]
+        for back in range(1, min(self.longest, reach) + 1):
+            other = self._path(lasts, reach - back)[::-1]
+            n = next((i for i, (a, b) in enumerate(zip(shared, other)) if a != b), min(len(shared), len(other)))
+            shared = shared[:n]
+        out += shared
+        return lasts[sum(self.size[t] for t in shared) :]
 
 
 class Utf8Stream:
@@ -231,6 +255,7 @@ class Codec:
         import regex
 
         self.machine = Transducer(load_ranks(path))
+        self.lanes = Lanes(self.machine)
         self.pattern = regex.compile(pattern)
         self.classes = _classes() if pattern == public_tokenizers.PATTERN else None
         lengths = np.array([len(b) for b in self.machine.bytes_of], np.int64)
@@ -241,6 +266,7 @@ class Codec:
     def forget(self) -> None:
         self.keys, self.at, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.body, self.first, self.last = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def split(self, texts: Texts) -> np.ndarray:
         """First byte of every match of the pattern, in order. Matches leave no gap."""
@@ -299,22 +325,46 @@ class Codec:
         known = np.zeros(len(keys), bool)
         if len(self.keys):
             known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys
+        raw, encode = texts.data.tobytes(), self.machine.encode_piece
         if not known.all():
-            raw, encode = texts.data.tobytes(), self.machine.encode_piece
-            new = [encode(raw[start[i] : end[i]]) for i in firsts[~known]]
-            count = np.array([len(x) for x in new], np.int64)
-            flat = np.array([i for x in new for i in x], np.uint32)
+            new = firsts[~known]
+            size = end[new] - start[new]
+            made, count = self._made(texts.data, raw, start[new], size)
+            total, body_at = np.concatenate([[0], np.cumsum(size)]), len(self.body)
+            self.body = np.concatenate([self.body, texts.data[_spread(start[new], size, total)]])
             at = len(self.flat) + np.cumsum(count) - count
-            self.keys = np.insert(self.keys, place[~known], keys[~known])
-            self.at = np.insert(self.at, place[~known], at)
-            self.count = np.insert(self.count, place[~known], count)
-            self.flat = np.concatenate([self.flat, flat])
+            self.flat = np.concatenate([self.flat, made])
+            for name, values in (("keys", keys[~known]), ("at", at), ("count", count), ("first", body_at + total[:-1]), ("last", body_at + total[1:])):
+                setattr(self, name, np.insert(getattr(self, name), place[~known], values))
             place = np.searchsorted(self.keys, keys)
         entry = place[which]
-        count = self.count[entry]
+        at, count, flat = self.at[entry], self.count[entry], self.flat
+        other = np.flatnonzero(~texts.same(start, end, Texts(self.body, np.array([0, len(self.body)])), self.first[entry], self.last[entry]))
+        if len(other):  # another piece has the same hash
+            made = [encode(raw[start[i] : end[i]]) for i in other]
+            count[other] = [len(x) for x in made]
+            at[other] = len(flat) + np.cumsum(count[other]) - count[other]
+            flat = np.concatenate([flat, np.array([i for x in made for i in x], np.uint32)])
         total = np.concatenate([[0], np.cumsum(count)])
-        ids = self.flat[_spread(self.at[entry], count, total)]
-        return ids, total[np.searchsorted(start, texts.offsets)]
+        return flat[_spread(at, count, total)], total[np.searchsorted(start, texts.offsets)]
+
+    def _made(self, data: np.ndarray, raw: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces, one after another, and how many each has: whole tokens, pieces in lanes, then the rest."""
+        whole = np.array([self.machine.ranks.get(raw[a : a + n], -1) for a, n in zip(start.tolist(), size.tolist())], np.int64)
+        count = (whole >= 0).astype(np.int64)
+        open_ = np.flatnonzero(whole < 0)
+        ids, n = self.lanes.encode(data, start[open_], size[open_])
+        left = open_[n == 0]
+        rest = [self.machine.encode_piece(raw[start[i] : start[i] + size[i]]) for i in left]
+        count[open_] = n
+        count[left] = [len(x) for x in rest]
+        first = np.cumsum(count) - count
+        out = np.zeros(int(count.sum()), np.uint32)
+        out[first[whole >= 0]] = whole[whole >= 0]
+        out[_spread(first[open_], n, np.concatenate([[0], np.cumsum(n)]))] = ids
+        for i, x in zip(left, rest):
+            out[first[i] : first[i] + len(x)] = x
+        return out, count
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of the ids, one after another, and each id's first byte (and the end)."""

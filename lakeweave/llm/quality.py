@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkernel import SPACE, Texts, mix, pieces
+from .textkernel import SPACE, Texts, pieces
 from .workers import map_batches
 
 #: Base rules: least words; most words, in per cent, in WINDOW-word windows that occur twice or more.
@@ -91,12 +91,12 @@ def repeats(texts: Texts):
     starts, ends, row = texts.words()
     n_words = np.bincount(row, minlength=texts.n)
     total = len(row)
-    ids = mix(texts.hashes(starts, ends) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    number = texts.numbers(starts, ends)
     place = np.arange(total) + row  # each text ends with a symbol of its own
-    symbols = np.empty(total + texts.n, np.uint64)
-    symbols[place] = ids
+    symbols = np.empty(total + texts.n, np.int64)
+    symbols[place] = number * texts.n + row  # words of different texts are different symbols
     closing = np.cumsum(n_words + 1) - 1
-    symbols[closing] = mix(np.arange(texts.n).astype(np.uint64) + np.uint64(0xA5A5A5A5 << 20))
+    symbols[closing] = -1 - np.arange(texts.n)
     rank, levels, ties = suffix_ranks(symbols)
     windows = ties[3] if len(ties) > 3 else np.zeros(0, np.int64)
     by_window = _union(windows, np.full(len(windows), WINDOW), len(symbols))[place]
@@ -123,7 +123,7 @@ def measure(texts: Texts) -> dict[str, np.ndarray]:
     first_word = np.searchsorted(starts, begin, "left")
     full = (first_word < len(starts)) & (np.append(starts, len(data) + 1)[first_word] < stop)
     begin, stop, which = begin[full], stop[full], which[full]
-    key = mix(texts.hashes(begin, stop) + which.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key = texts.numbers(begin, stop) * n + which
     _, firsts = np.unique(key, return_index=True)
     out["n_dup_lines"] = np.bincount(which, minlength=n) - np.bincount(which[firsts], minlength=n)
     out["n_repeat_words"] = np.bincount(row[by_window], minlength=n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,27 +10,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 np.seterr(over="ignore")
-_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_rng = np.random.default_rng(0x5EED)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_BYTE[7])
+_C1, _C2, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x5EEDF00DC0FFEE11)
+#: Masks that keep the first 0 to 8 bytes of a little-endian number, and the bytes of a slice that are hashed in steps of 8.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_STEPS = 32
 #: ASCII space and tab to carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base and of its inverse modulo 2**64."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -43,7 +32,7 @@ class Texts:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
-        self._sums = None
+        self._loads = None
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and row of every word, in order."""
@@ -61,14 +50,58 @@ class Texts:
         ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
         return starts, ends, np.searchsorted(self.offsets, starts, "right") - 1
 
+    def _eight(self) -> np.ndarray:
+        """The eight bytes from every place on, as one number; zeros follow the last byte."""
+        if self._loads is None:
+            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            self._loads = np.ndarray(len(self.data) + 1, "<u8", padded, 0, (1,))
+        return self._loads
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each slice."""
-        if self._sums is None:
-            up, _ = _power(len(self.data) + 1)
-            self._sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=self._sums[1:])
-        _, down = _power(len(self.data) + 1)
-        return mix((self._sums[ends] - self._sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _C2)
+        """A 64-bit hash of each slice: every eight bytes are mixed in, so equal hashes of different slices are chance (2**-64)."""
+        eight, size = self._eight(), ends - starts
+        out = mix(size.astype(np.uint64) * _C2 + _SEED)
+        at = np.arange(len(starts))
+        for step in range(_STEPS):
+            rest = size[at] - 8 * step
+            at = at[rest > 0]
+            if not len(at):
+                return out
+            part = eight[starts[at] + 8 * step] & _MASK[np.minimum(size[at] - 8 * step, 8)]
+            out[at] = mix((out[at] ^ part) * _C1 + _SEED)
+        for i in at[size[at] > 8 * _STEPS]:
+            body = self.data[starts[i] + 8 * _STEPS : ends[i]]
+            out[i] ^= np.frombuffer(hashlib.blake2b(body, digest_size=8).digest(), "<u8")[0]
+        return out
+
+    def same(self, starts: np.ndarray, ends: np.ndarray, other: "Texts", firsts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
+        """Whether each slice has the bytes of the other texts' slice."""
+        size = ends - starts
+        out = size == lasts - firsts
+        one, two = self._eight(), other._eight()
+        at, step = np.flatnonzero(out & (size > 0)), 0
+        while len(at) and step < _STEPS:
+            differs = (one[starts[at] + 8 * step] ^ two[firsts[at] + 8 * step]) & _MASK[np.minimum(size[at] - 8 * step, 8)]
+            out[at[differs != 0]] = False
+            step += 1
+            at = at[(differs == 0) & (size[at] > 8 * step)]
+        for i in at:
+            out[i] = np.array_equal(self.data[starts[i] : ends[i]], other.data[firsts[i] : lasts[i]])
+        return out
+
+    def numbers(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A number for each slice; equal numbers exactly where the bytes are equal."""
+        order = np.argsort(hashes := self.hashes(starts, ends), kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+        twin = np.flatnonzero(~new)
+        a, b = order[twin], order[twin - 1]
+        if not self.same(starts[a], ends[a], self, starts[b], ends[b]).all():  # different slices of one hash
+            known: dict[bytes, int] = {}
+            return np.array([known.setdefault(self.data[x:y].tobytes(), len(known)) for x, y in zip(starts, ends)], np.int64)
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(new) - 1
+        return out
 
     def per_row(self, flags: np.ndarray) -> np.ndarray:
         """Flagged bytes of each row."""

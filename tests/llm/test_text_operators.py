@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from common import edge_docs, edge_rows, empty_docs
 from conftest import SF
-from lakeweave.llm import bpe, language_id, license_scan, quality
+from lakeweave.llm import bpe, lanes, language_id, license_scan, near_dedup, quality
 from lakeweave.llm.license_rules import BASE, GATE, rules
 from lakeweave.llm.queries import tokenizer
 
@@ -162,12 +162,56 @@ def test_bpe_any_text(tik):
 def test_bpe_small_caches(tik, monkeypatch):
     monkeypatch.setattr(bpe, "TRANSITIONS", 50)
     monkeypatch.setattr(bpe, "PIECES", 20)
+    monkeypatch.setattr(lanes, "STATES", 30)
     coder = bpe.Codec(*tokenizer())
     for n in range(30):
         text = f"unusual{n} wordings{n * 7} and moreover{n}ness"
         assert coder.encode_text(text) == tik.encode_ordinary(text)
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_strings_that_polynomial_hashes_confuse(tik, n):
+    """A Thue-Morse string and its complement: told apart as pieces, words, lines and shingles."""
+    import pyarrow as pa
+    from lakeweave.llm.textkernel import pieces
+
+    one = thue_morse(n)
+    two = one.translate(str.maketrans("ab", "ba"))
+    text = f"{one}\n{two}"
+    coder = bpe.codec(*tokenizer())
+    assert coder.encode_text(text) == tik.encode_ordinary(text)
+    assert "".join(coder.decode_text(coder.encode_text(text))) == text
+    _, _, texts = next(pieces(pa.array([text, one, two])))
+    assert quality.measure(texts)["n_dup_lines"].tolist() == [0, 0, 0]
+    sets, first = near_dedup.shingle_sets(texts, 3)
+    assert sets[first[1]] != sets[first[2]]
+
+
+def test_equal_hashes_of_different_bytes(tik, monkeypatch):
+    """Whatever the hash says, bytes decide: ids, words and lines are right even if all hashes are equal."""
+    import pyarrow as pa
+    from lakeweave.llm.textkernel import Texts, pieces
+
+    monkeypatch.setattr(Texts, "hashes", lambda self, starts, ends: np.full(len(starts), 7, np.uint64))
+    coder = bpe.Codec(*tokenizer())
+    for text in ("one two three two unusualness", "again and again unusualnesses"):
+        assert coder.encode_text(text) == tik.encode_ordinary(text)
+    text = "a b c\nd e f\na b c\n" + "a b c d e f g h " * 2
+    got = quality.measure(next(pieces(pa.array([text])))[2])
+    assert [int(got[k][0]) for k in ("n_words", "n_dup_lines", "n_repeat_words")] == list(quality_figures(text)[:1] + quality_figures(text)[3:5])
+
+
+def test_long_pieces_are_emitted_on_the_way(tik, monkeypatch):
+    monkeypatch.setattr(bpe, "LOOK", 200)
+    coder = bpe.Codec(*tokenizer())
+    for text in ("ab" * 3000, thue_morse(5000), "a" * 3000, "abcdefghij" * 500, "\u00e9t\u00e9" * 700):
+        assert coder.encode_text(text) == tik.encode_ordinary(text)
+
+
 def test_bpe_other_pattern():
     coder = bpe.Codec(tokenizer()[0], r"\S+|\s+")
     assert b"".join(coder.machine.bytes_of[i] for i in coder.encode_text("two  words")) == b"two  words"

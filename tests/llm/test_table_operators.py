@@ -117,14 +117,68 @@ def test_near_duplicates_crowd(spark, kind):
     assert sorted(map(tuple, got), key=repr) == components_of(texts, 1, 85)
 
 
+def test_joining_by_brute_force():
+    """Links that connect what all pairs connect, also between two blocks and from given components."""
+    r = random.Random(11)
+    for turn in range(60):
+        crowd = [r.randrange(1 << 62) for _ in range(40)]
+        sets = []
+        for _ in range(r.randrange(2, 60)):
+            base = set(crowd) if r.random() < 0.7 or not sets else set(r.choice(sets))
+            for x in r.sample(sorted(base), min(len(base), r.randrange(0, 12))):
+                base.remove(x)
+            sets.append(base | {r.randrange(1 << 62) for _ in range(r.randrange(0, 10))} | {7})
+        n = len(sets)
+        code, side = np.array([r.choice([i, 0]) for i in range(n)]), np.array([r.randrange(2) for _ in range(n)])
+        code = np.unique(code, return_inverse=True)[1]
+        flat, first = np.array([x for s in sets for x in sorted(s)], np.uint64), np.cumsum([0] + [len(s) for s in sets])
+        for sides in (None, side):
+            for threshold in (80, 85):
+                true = [(i, j) for i in range(n) for j in range(i) if 100 * len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) and (sides is None or side[i] != side[j])]
+                got = near_dedup.joining(flat, first, code, sides, threshold)
+                assert {tuple(sorted(x, reverse=True)) for x in got} <= set(true)
+
+                def merged(links):
+                    parent = list(range(n))
+                    for a, b in [(i, next(j for j in range(n) if code[j] == code[i])) for i in range(n)] + list(links):
+                        a, b = parent[a], parent[b]
+                        parent = [min(a, b) if p in (a, b) else p for p in parent]
+                    return parent
+
+                assert merged(got) == merged(true)
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_near_duplicates_template(spark, blocks, monkeypatch):
+    """Pairs at 0.87 in a crowd that shares a passage, at less than 0.85 among others."""
+    r = random.Random(5)
+    passage, texts = prose(1, 800, 100_000).split(), []
+    for i in range(120):
+        own = [f"own{i}x{x}" for x in range(90)]
+        texts.append((2 * i, " ".join(passage + own)))
+        texts.append((2 * i + 1, " ".join(passage + own[: 90 - r.randrange(10, 20)] + [f"other{i}x{x}" for x in range(r.randrange(10, 20))])))
+    if blocks > 1:
+        monkeypatch.setattr(near_dedup, "BLOCK", 890 * 240 // blocks)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs, 3, 85).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got), key=repr) == components_of(texts, 3, 85)
+
+
 def test_near_filter(spark):
     docs = edge_docs(spark)
     kept = near_dedup.near_filter(docs)
     assert kept.schema.names == docs.schema.names
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(1) == 1 and not {6, 7, 9} & set(ids) and {2, 3, 4, 5, 8, 10} <= set(ids)
-    repeated = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "h i j k l m n")], "doc_id long, text string")
-    assert sorted(r.doc_id for r in near_dedup.near_filter(repeated).collect()) == [1, 2]
+    near = " ".join(f"w{i}" for i in range(100))
+    rows_ = [(1, "a1 b c d e f g"), (1, "a1 b c d e f g"), (2, "h1 i j k l m n"), (3, "h2 i j k l m n"), (4, "a2 b c d e f g"), (4, "h2 i j k l m n"), (5, "a3 b c"), (5, "h3 i j"), (None, "a4 b"), (None, "h4 i"), (6, "h4 i")]
+    rows_ += [(7, None), (7, ""), (8, None), (9, near), (9, near + " x"), (10, near + " y")]
+    want = [(1, "a1 b c d e f g"), (2, "h1 i j k l m n"), (3, "h2 i j k l m n"), (4, "a2 b c d e f g"), (5, "a3 b c"), (5, "h3 i j"), (None, "a4 b"), (6, "h4 i"), (7, None), (7, ""), (8, None)]
+    repeated = spark.createDataFrame([(*r, 1, 2, 3, {"m": 1}) for r in rows_], "doc_id long, text string, _gone int, _again int, gone_id int, more map<string,int>")
+    kept = near_dedup.near_filter(repeated)
+    assert kept.columns == repeated.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert [g for g in got if g[0] != 9] == sorted(want, key=str) and sum(g[0] == 9 for g in got) == 1
     assert near_dedup.near_filter(empty_docs(spark)).count() == 0 == near_dedup.near_duplicates(empty_docs(spark)).count()
 
 

@@ -53,5 +53,15 @@ class Catalog:
             self.spark.sql(f"create database if not exists `{parts[-2]}`")
         staging = f"{where}`{parts[-1]}__{uuid.uuid4().hex}`"
         frame.write.saveAsTable(staging)
-        self.spark.sql(f"drop table if exists {where}`{parts[-1]}`")
-        self.spark.sql(f"alter table {staging} rename to {where}`{parts[-1]}`")
+        name, old = f"{where}`{parts[-1]}`", f"{where}`{parts[-1]}__{uuid.uuid4().hex}`"
+        there = self.spark.catalog.tableExists(name.replace("`", ""))
+        if there:  # set aside, and dropped only when the new table has the name
+            self.spark.sql(f"alter table {name} rename to {old}")
+        try:
+            self.spark.sql(f"alter table {staging} rename to {name}")
+        except Exception:
+            if there:
+                self.spark.sql(f"alter table {old} rename to {name}")
+            raise
+        if there:
+            self.spark.sql(f"drop table {old}")

@@ -94,9 +94,9 @@ class Engine:
                 while batch := [list(r) for r in itertools.islice(source, BATCH)]:
                     rows += len(batch)
                     yield {"event": "ResultRows", "rows": batch}
-            for node in planner.nodes:
-                yield {"event": "OperatorStats", "id": node["id"], "name": node["name"], "state": "done"}
             seconds = time.time() - began
+            for node in planner.nodes:
+                yield {"event": "OperatorStats", "id": node["id"], "name": node["name"], "state": "done", "elapsed_seconds": seconds}
             yield {"event": "QueryStats", "elapsed_seconds": seconds, "rows": rows, "rows_per_sec": rows / max(seconds, 1e-9)}
             yield {"event": "QueryComplete", "query_id": query_id}
         except Exception as problem:
@@ -134,26 +134,34 @@ def serve(engine: Engine, port: int = 8000) -> threading.Thread:
                 return self.reply({"ok": True})
             if url.path != "/stream":
                 return self.reply({"error": "not found"}, 404)
+            query_id = parse_qs(url.query).get("query_id", [""])[0]
+            if query_id not in engine.submitted:
+                return self.reply({"error": f"Query {query_id} not found"}, 400)
             self.send_response(200)
             self.send_header("Content-Type", "text/event-stream")
             self.end_headers()
-            for event in engine.stream(parse_qs(url.query)["query_id"][0]):
+            for event in engine.stream(query_id):
                 self.wfile.write(f"event: {event['event']}\ndata: {json.dumps(event, default=str)}\n\n".encode())
                 self.wfile.flush()
 
         def do_POST(self) -> None:
-            body = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or b"{}")
             try:
+                body = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or b"{}")
+                needs = {"/query": "sql", "/explain": "sql", "/terminate": "query_id"}.get(self.path)
+                if needs is None:
+                    return self.reply({"error": "not found"}, 404)
+                if not isinstance(body, dict) or not isinstance(body.get(needs), str):
+                    return self.reply({"error": f"`{needs}` is missing"}, 400)
                 if self.path == "/query":
                     return self.reply(engine.submit(body["sql"]))
                 if self.path == "/explain":
                     return self.reply(engine.explain(body["sql"]))
-                if self.path == "/terminate":
-                    engine.terminate(body["query_id"])
-                    return self.reply({"ok": True})
-                self.reply({"error": "not found"}, 404)
-            except QueryError as problem:
+                engine.terminate(body["query_id"])
+                self.reply({"ok": True})
+            except (QueryError, ValueError) as problem:
                 self.reply({"error": str(problem)}, 400)
+            except Exception as problem:
+                self.reply({"error": str(problem)}, 500)
 
     server = ThreadingHTTPServer(("127.0.0.1", port), Handler)
     thread = threading.Thread(target=server.serve_forever, daemon=True)

@@ -103,13 +103,17 @@ class Lowering:
         function = WINDOWS[e.name]
         args = [] if e.name in ("ROW_NUMBER", "COUNT") else [self(a) for a in e.args]
         window = W.partitionBy(*(self(p).col for p in e.partition))
-        order = [self(k.expr).col.desc() if k.descending else self(k.expr).col.asc() for k in e.order]
+        low, high = (e.frame or (None, None)) if function.framed else (None, None)
+        # A frame that only its start bounds is a running frame of the reversed order: one step a row instead of one a row of the frame.
+        back = low is not None and high is None
+        if back:
+            low, high = None, -low
+        order = [self(k.expr).col.desc() if k.descending != back else self(k.expr).col.asc() for k in e.order]
         if not order and (e.frame is not None or not function.framed):
-            order = [F.col(self.order)]
+            order = [F.col(self.order).desc() if back else F.col(self.order).asc()]
         if order:
             window = window.orderBy(*order)
         if function.framed:
-            low, high = e.frame or (None, None)
             window = window.rowsBetween(W.unboundedPreceding if low is None else low, W.unboundedFollowing if high is None else high)
         made = function.make(args)
         out = made.col.over(window)

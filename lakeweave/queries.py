@@ -30,7 +30,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "comments": ("-- a comment\nselect r_name /* block */ from region;", "select r_name from region"),
     "filter_and": ("select o_orderkey from orders where o_totalprice > 100000 and o_orderstatus = 'O'", None),
     "filter_or": ("select o_orderkey from orders where o_totalprice > 400000 or o_orderstatus = 'P'", None),
-    "filter_theta": ("select p_partkey from part where p_size <= 10 and p_retailprice >= 1000 and p_size != 3 and p_retailprice < 1900", None),
+    "filter_theta": ("select p_partkey from part where p_size <= 10 and p_retailprice >= 903 and p_size != 3 and p_retailprice < 917", None),
     "filter_grouped": ("select l_orderkey, l_linenumber, l_quantity from lineitem where (l_quantity > 45 or l_discount > 0.08) and (l_tax < 0.02 or l_returnflag = 'A')", None),
     "filter_not": ("select c_custkey from customer where not c_mktsegment = 'BUILDING'", None),
     "filter_truthy": ("select p_partkey from part where p_size - 10", "select p_partkey from part where p_size - 10 <> 0"),

@@ -56,6 +56,10 @@ def test_http(spark):
     assert "event: ResultRows" in body and "[[1]]" in body
     assert post("/explain", sql="select 1 as a")["nodes"][0]["name"] == "Row Generator"
     assert post("/terminate", query_id="none") == {"ok": True}
+    for path, sent, code in (("/query", b"{}", 400), ("/query", b"[", 400), ("/query", b'{"sql": "select"}', 400), ("/terminate", b"[]", 400), ("/none", b"{}", 404), ("/stream?query_id=none", None, 400), ("/stream", None, 400)):
+        with pytest.raises(urllib.error.HTTPError) as raised:
+            urllib.request.urlopen(urllib.request.Request(url + path, sent))
+        assert raised.value.code == code and "error" in json.loads(raised.value.read())
     thread.server.shutdown()
 
 
@@ -109,3 +113,38 @@ def test_windows_on_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r.n for r in spark.table("hours").collect()) == [6, 6]
+
+
+def test_registered_functions(spark):
+    """Scalar, aggregate, window and table functions of one's own."""
+    from pyspark.sql import functions as F
+
+    from lakeweave import functions
+    from lakeweave.functions.typed import Typed
+
+    functions.register_scalar("TWICE", 1, lambda a: Typed(a[0].col * 2, a[0].kind))
+    functions.register_aggregate("SPREAD", lambda x, distinct, delimiter, order: Typed(F.max(x.col) - F.min(x.col), x.kind))
+    functions.register_window("LAST", lambda a: Typed(F.last(a[0].col), a[0].kind))
+    functions.register_table("EVENS", (1,), lambda spark, n: spark.range(0, 2 * n, 2).toDF("i"))
+    engine = Engine(spark)
+    assert engine.run("select twice(spread(i)) as x from evens(4)") == [{"x": 12}]
+    assert [r["x"] for r in engine.run("select i, last(i) over (order by i rows between current row and unbounded following) as x from evens(3) order by i")] == [4, 4, 4]
+
+
+def test_replaced_table_stays_if_the_swap_fails(spark, monkeypatch):
+    engine = Engine(spark)
+    engine.run("create table swapped as (select i from generate_series(3))")
+    plain = type(spark).sql
+
+    def fails(self, text, *a, **k):
+        if text.startswith("alter table") and text.endswith("rename to `swapped`") and not fails.done:
+            fails.done = True
+            raise RuntimeError("lost")
+        return plain(self, text, *a, **k)
+
+    fails.done = False
+    monkeypatch.setattr(type(spark), "sql", fails)
+    with pytest.raises(RuntimeError):
+        engine.run("create table swapped as (select i from generate_series(9))")
+    monkeypatch.undo()
+    assert len(Engine(spark).run("select * from swapped")) == 3

@@ -1,7 +1,8 @@
 """Window functions: make(arguments, window) -> typed column.
 
 `framed` functions work on the frame; the others on the whole ordered partition, whatever frame is given, and need an
-order (the input's, where the query gives none).
+order (the input's, where the query gives none). `commutes`: a frame's order doesn't matter to the function, so that a
+frame may be walked backwards.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from .typed import Typed
 class WindowFunction:
     make: Callable[[list[Typed]], Typed]
     framed: bool
+    commutes: bool = False
 
 
 WINDOWS: dict[str, WindowFunction] = {}
 
 
-def register_window(name: str, make: Callable[[list[Typed]], Typed], framed: bool = True) -> None:
-    WINDOWS[name.upper()] = WindowFunction(make, framed)
+def register_window(name: str, make: Callable[[list[Typed]], Typed], framed: bool = True, commutes: bool = False) -> None:
+    WINDOWS[name.upper()] = WindowFunction(make, framed, commutes)
 
 
 def _one(name: str, make: Callable[[Column], Column], kind: str | None = None) -> None:
@@ -35,7 +37,7 @@ def _one(name: str, make: Callable[[Column], Column], kind: str | None = None) -
             raise QueryError(f"Window function {name} takes one argument")
         return Typed(make(args[0].col), kind or args[0].kind)
 
-    register_window(name, checked)
+    register_window(name, checked, commutes=True)
 
 
 def _shift(name: str, make) -> None:
@@ -52,7 +54,7 @@ def _shift(name: str, make) -> None:
     register_window(name, checked, framed=False)
 
 
-register_window("COUNT", lambda a: Typed(F.count(F.lit(1)), "int"))
+register_window("COUNT", lambda a: Typed(F.count(F.lit(1)), "int"), commutes=True)
 register_window("ROW_NUMBER", lambda a: Typed(F.row_number(), "int"), framed=False)
 _one("SUM", F.sum)
 _one("MIN", F.min)

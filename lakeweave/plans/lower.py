@@ -105,7 +105,7 @@ class Lowering:
         window = W.partitionBy(*(self(p).col for p in e.partition))
         low, high = (e.frame or (None, None)) if function.framed else (None, None)
         # A frame that only its start bounds is a running frame of the reversed order: one step a row instead of one a row of the frame.
-        back = low is not None and high is None
+        back = function.commutes and low is not None and high is None
         if back:
             low, high = None, -low
         order = [self(k.expr).col.desc() if k.descending != back else self(k.expr).col.asc() for k in e.order]

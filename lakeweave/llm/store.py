@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,12 @@ def drop(df: DataFrame) -> None:
     where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nobody holds any more (else it waits for the driver's next collection)."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def broadcast_below(df: DataFrame, rows: int, limit: int):
     """df with a broadcast hint if its counted rows stay within the limit; else df as it is, to be shuffled."""
     from pyspark.sql import functions as F

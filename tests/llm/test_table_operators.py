@@ -295,19 +295,27 @@ def test_training_order(spark, which, tmp_path):
     again = token_output.training_order(docs.repartition(3), stride=256, records=64).collect()
     assert sorted((r.slot, bytes(r.ids)) for r in again) == sorted((r.slot, bytes(r.ids)) for r in got)
 
-    token_output.write_shards(made, str(tmp_path / "shards"))
+    manifest = token_output.write_shards(made, str(tmp_path / "shards"), 256, 64)
     by_slot = {r.slot: bytes(r.ids)[: r.n_tokens] for r in got}
-    for shard in {r.shard for r in got}:
-        files = list((tmp_path / "shards" / f"shard={shard}").glob("part-*"))
-        assert len(files) == 1
-        data = files[0].read_bytes()
-        assert len(data) % 257 == 0
-        for first in (0, 3):
-            records = list(token_output.read_records(data, first, 256))
-            assert records == [by_slot[s] for s in sorted(by_slot) if s // 64 == shard][first:]
+    assert manifest["slots"] == len(got)
+    reader = token_output.ShardReader(spark, str(tmp_path / "shards"))
+    assert dict(reader.read()) == by_slot
+    for first in (1, 63, 64, len(got) - 2, len(got)):  # resumed within and between shards
+        assert list(reader.read(first, 5)) == [(s, by_slot[s]) for s in range(first, len(got))]
+    for file in (tmp_path / "shards").glob("shard=*/part-*"):
+        assert len(file.read_bytes()) % 257 == 0
     assert token_output.training_order(empty_docs(spark)).count() == 0
 
 
+def test_training_order_of_one_row(spark):
+    """A row that is repeated very often is numbered in many partitions."""
+    docs = spark.range(3000).selectExpr("7 as doc_id", "'same text' as text").repartition(6)
+    made = token_output.training_order(docs, stride=4, records=100)
+    got = made.collect()
+    assert sorted(r.slot for r in got) == list(range(9000)) and {bytes(r.ids) for r in got if r.seq_no == 0} == {b"same"}
+    assert made.rdd.getNumPartitions() > 1
+
+
 def test_training_order_tokens(spark):
     """The query's sequences are ids of the production tokenizer."""
     from lakeweave.llm import bpe

@@ -26,11 +26,7 @@ def test_stages(spark):
     kept = [{r.doc_id for r in f.select("doc_id").collect()} for f in out]
     texts = {r.doc_id: r.text for r in docs.collect()}
 
-    for d, text in texts.items():
-        if len(text) < 3000:
-            *_, failed, longest = quality_figures(text)
-            assert not (failed and d in kept[1])
-            assert failed or longest >= 5 or d in kept[1]
+    assert kept[1] == {d for d, text in texts.items() if quality_figures(text)[6]}
     judged = {r.doc_id: r for r in language_id.language_id(out[1]).collect()}
     assert kept[2] == {d for d, r in judged.items() if r.lang_pred != "und" and r.score >= language_id.LEAST_SCORE}
     assert kept[3] == {d for d, _, c, k in components_of([(d, texts[d]) for d in kept[2]], 5, 80) if k}

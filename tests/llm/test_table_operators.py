@@ -334,10 +334,9 @@ def test_training_order_tokens(spark):
 def test_sharding(spark, which, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 16)
     monkeypatch.setattr(sharding, "GROUP", 4)
-    monkeypatch.setattr(sharding, "UNROLL", 10)
     docs = edge_docs(spark) if which == "edge" else spark.read.parquet(f"{SF}/documents.parquet")
     if which == "copies":
-        docs = spark.createDataFrame([(7, "same")] * 100 + [(i, str(i)) for i in range(200)], "doc_id long, text string")
+        docs = spark.createDataFrame([(7, "same", {"k": 1})] * 100 + [(i, str(i), None) for i in range(200)], "doc_id long, text string, place map<string,int>")
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     out = sharding.external_shuffle(docs)
     got = out.collect()
@@ -357,8 +356,26 @@ def test_sharding(spark, which, monkeypatch):
 
 
 def test_write_shards(spark, tmp_path):
-    docs = edge_docs(spark)
+    docs = edge_docs(spark).selectExpr("*", "map('k', doc_id) as bucket", "1 as rec", "2 as slot")
     back = sharding.write_shards(docs, str(tmp_path / "out"))
-    pick = lambda f: sorted((str((r.doc_id, r.text, r.lang)) for r in f.collect()))
-    assert pick(back) == pick(docs)
-    assert {"size_in", "text", "source"} <= set(back.columns)
+    pick = lambda f: sorted(str(tuple(r)) for r in f.collect())
+    assert pick(back.select("rec.*")) == pick(docs)
+    digest = sharding.external_shuffle(docs)
+    place = lambda f: sorted(map(str, f.collect()))
+    assert place(back.selectExpr("rec.doc_id", "shard", "slot")) == place(digest.select("doc_id", "shard", "slot"))
+
+
+def test_shuffle_by_brute_force(spark):
+    """Buckets and the order in them: hashes say which records a bucket holds, and each order is a permutation of them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    records, total = sharding.scatter(docs, 5)
+    rows_ = records.collect()
+    assert total == len(rows_) == docs.count()
+    assert sorted(map(str, (r.rec for r in rows_))) == sorted(map(str, docs.collect()))
+    buckets = defaultdict(list)
+    for r in rows_:
+        buckets[r.bucket].append((r.place, r.rec.doc_id))
+    hashes = {r.doc_id: (r.b, r.h) for r in docs.selectExpr("doc_id", f"cast(pmod(xxhash64(5, doc_id, cast(octet_length(text) + 1 as long), crc32(cast(text as binary)), 0L), {len(buckets)}L) as int) as b", "xxhash64(6, doc_id, cast(octet_length(text) + 1 as long), crc32(cast(text as binary)), 0L) as h").collect()}
+    assert all(sorted(p for p, _ in x) == list(range(len(x))) and all(hashes[d][0] == b for _, d in x) for b, x in buckets.items())
+    sorted_ = [[d for _, d in sorted(x)] == sorted((d for _, d in x), key=lambda d: hashes[d][1]) for x in buckets.values()]
+    assert not any(sorted_)  # shuffled, not the hash's order

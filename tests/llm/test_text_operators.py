@@ -26,25 +26,28 @@ def quality_figures(text):
     covered = {i + j for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for j in range(8)}
     lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
     n = len(w)
-    longest = 0
-    for i in range(n):
-        for j in range(i + 1, n):
-            k = longest
-            while j + k < n and w[i : i + k + 1] == w[j : j + k + 1]:
-                k += 1
-            longest = max(longest, k)
-    return n, sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), n < 20 or 100 * len(covered) > 30 * n, longest
+
+    def twice(k):
+        return {g for g, c in Counter(tuple(w[i : i + k]) for i in range(n - k + 1)).items() if c > 1}
+
+    low, high = 0, n
+    while low < high:  # a repeat of k words holds one of k - 1 words
+        k = (low + high + 1) // 2
+        low, high = (k, high) if twice(k) else (low, k - 1)
+    fives = twice(5)
+    in_repeats = {i + j for i in range(n - 4) if tuple(w[i : i + 5]) in fives for j in range(5)}
+    failed = n < 20 or 100 * len(covered) > 30 * n
+    longest = low if low >= 5 else 0
+    kept = not failed and 100 * len(in_repeats) <= 35 * n and not (longest > 40 and 100 * longest > 20 * n)
+    return n, sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed, kept, len(in_repeats), longest
 
 
 @pytest.mark.parametrize("which", ["edge", "sf"])
 def test_quality(spark, which):
     docs = docs_of(spark, which)
-    texts = [(r.doc_id, r.text) for r in docs.collect()]
-    got = sorted((tuple(r)[:7] for r in quality.quality_rules(docs).collect()), key=repr)
-    want = sorted(((d, *quality_figures(t)[:6]) if len(t or "") < 5000 else None for d, t in texts), key=repr)
-    small = {d for d, t in texts if len(t or "") < 5000}
-    large = {d for d, t in texts} - small
-    assert [g for g in got if g[0] not in large] == [w for w in want if w is not None and w[0] not in large]
+    got = sorted((tuple(r) for r in quality.quality_rules(docs).collect()), key=repr)
+    assert got == sorted(((r.doc_id, *quality_figures(r.text)) for r in docs.collect()), key=repr)
+    assert {g[7] for g in got} == {True, False}
 
 
 def test_quality_method(spark):
@@ -71,8 +74,7 @@ def test_longest_repeat_by_brute_force():
         got = quality.measure(t)
         for k in range(i, j):
             want = quality_figures(texts[k])
-            longest = want[6] if want[6] >= quality.LEAST_REPEAT else 0
-            assert (got["n_words"][k - i], got["n_repeat_words"][k - i], got["longest_repeat"][k - i]) == (want[0], want[4], longest)
+            assert (got["n_words"][k - i], got["n_repeat_words"][k - i], got["covered_words"][k - i], got["longest_repeat"][k - i]) == (want[0], want[4], want[7], want[8])
 
 
 def test_filters_keep_columns(spark):
@@ -121,6 +123,75 @@ def test_language_never_reads_labels(spark):
     assert pick(docs) == pick(swapped)
 
 
+def plain_profiles(texts):
+    """Bundles by the definition, n-gram by n-gram."""
+    letter = lambda c: ord(c.lower()[0]) if c.isalpha() else 0
+    made = {}
+
+    def vector(p):
+        if p not in made:
+            made[p] = language_id.letter_vectors(np.array([p]))[0].astype(int)
+        return made[p]
+
+    out = []
+    for text in texts:
+        p, v = [letter(c) for c in text or ""], np.zeros(language_id.DIMENSIONS, int)
+        for (a, b, c), n in Counter(g for g in zip(p, p[1:], p[2:]) if g[1]).items():
+            v += n * np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+        out.append(v)
+    return out
+
+
+def test_language_by_brute_force(spark):
+    """Predictions and scores against prototypes made n-gram by n-gram; Cyrillic and Chinese letters have vectors of their own."""
+    rows_ = [(r.doc_id, r.text[:400], r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    rows_ += [(1000 + i, " ".join(("слово мир дом река поле" if i % 2 else "чайник экран щука хлеб цирк").split()[i % 5 :] * 3), "ru" if i % 2 else "uk") for i in range(12)]
+    rows_ += [(2000 + i, "漢字仮名交じり文" * (i + 1), "ja") for i in range(6)] + [(3000, None, "en"), (3001, "12 34", None), (3002, "", "en"), (3003, "a", None), (3004, "ab", "en")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    bundles = plain_profiles([r[1] for r in rows_])
+    held = [zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in rows_]
+    protos = {name: sum(v for v, r, h in zip(bundles, rows_, held) if r[2] == name and not h and r[1] is not None) for name in sorted({r[2] for r in rows_ if r[2]})}
+    protos = {k: v for k, v in protos.items() if np.any(v)}
+    got = {r.doc_id: r for r in language_id.language_id(docs).collect()}
+    for (d, text, _), v, h in zip(rows_, bundles, held):
+        cosines = {k: v @ p / max(np.linalg.norm(v) * np.linalg.norm(p), 1e-12) for k, p in protos.items()}
+        best = max(cosines, key=cosines.get)
+        has = any(c.isalpha() for c in text or "")
+        assert got[d].held_out == h and got[d].lang_pred == (best if has else "und")
+        assert abs(got[d].score - (min(max(cosines[best], 0), 1) if has else 0)) < 1e-5
+    assert {"ru", "uk", "ja"} <= {r.lang_pred for r in got.values()}
+
+
+def test_language_filter_rejects(spark):
+    """Random letters and languages that nobody taught go; documents stay."""
+    import random
+
+    r = random.Random(1)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    noise = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9))) for _ in range(150)) for _ in range(40)]
+    noise += ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.", "Все люди рождаются свободными и равными в своем достоинстве и правах."]
+    more = spark.createDataFrame([(10**6 + i, x, None) for i, x in enumerate(noise)], "doc_id long, text string, lang string")
+    kept = {x.doc_id for x in language_id.language_filter(docs.unionAll(more)).select("doc_id").collect()}
+    assert not any(d >= 10**6 for d in kept) and len(kept) > 0.99 * docs.count()
+
+
+def test_language_memory(monkeypatch):
+    """Very many short texts: no array of all texts by all n-grams."""
+    import random
+
+    import pyarrow as pa
+    from lakeweave.llm.textkernel import pieces
+
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(25)) for _ in range(3000)]
+    _, _, run = next(pieces(pa.array(texts)))
+    sizes, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, minlength=0, **k: sizes.append(minlength) or plain(x, minlength=minlength, **k))
+    v, _ = language_id.vectors(run)
+    assert max(sizes) <= language_id.CELLS
+    assert all((v[i] == p).all() for i, p in enumerate(plain_profiles(texts[:20])))
+
+
 @pytest.fixture(scope="module")
 def tik():
     import tiktoken

@@ -36,6 +36,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def read_all(frames: list[DataFrame]) -> DataFrame:
+    """What several calls of keep() wrote, of one schema, as one scan."""
+    return frames[0].sparkSession.read.schema(frames[0].schema).parquet(*(f._lakeweave_path for f in frames))
+
+
 def drop(df: DataFrame) -> None:
     """Delete what keep() wrote; the caller no longer reads it."""
     path = getattr(df, "_lakeweave_path", None)

@@ -235,7 +235,7 @@ def brute(ids, x, k=10):
     return out
 
 
-@pytest.mark.parametrize("sf, least", [("sf0.01", 0.99), ("sf0.1", 0.95), ("check_h", 0.9)])
+@pytest.mark.parametrize("sf, least", [("sf0.01", 0.9), ("sf0.1", 0.95), ("check_h", 0.95)])
 def test_nearest_recall(spark, sf, least):
     if not os.path.exists(f"/root/testdata/{sf}"):
         pytest.skip("no such tables here")
@@ -253,6 +253,18 @@ def test_nearest_recall(spark, sf, least):
     assert hits / (10 * len(want)) >= least
 
 
+def test_nearest_random(spark, monkeypatch):
+    """Random vectors, the hardest case, in full blocks; the same answers from any partitions and query groups."""
+    x = np.random.default_rng(3).normal(size=(20_000, 64)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = sorted(ann.nearest(table.coalesce(1)).collect())
+    want = brute(range(len(x)), x)
+    hits = sum(len({r.vec_id for r in got if r.query_id == q} & {w[0] for w in want[q]}) for q in want)
+    assert hits / (10 * len(want)) >= 0.95
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 60)
+    assert sorted(ann.nearest(table.repartition(50)).collect()) == got
+
+
 def test_nearest_edges(spark):
     r = random.Random(1)
     data = [(i, [r.gauss(0, 1) for _ in range(4)], "x") for i in range(1, 30)]

@@ -1,7 +1,7 @@
 """The rules of the license scan: written by hand as families, each family giving a rule per license.
 
-A rule works on the words of a text, lower-cased and joined by single spaces. It has a keyword that must occur for its
-regex to be tried, a label and a priority.
+A rule works on the words of a text, lower-cased and joined by single spaces. It has a label, a priority and a regex; its
+keywords are read off the regex: clauses of literals, of each of which one occurs in every match.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from typing import NamedTuple
 class Rule(NamedTuple):
     label: str
     priority: int
-    keyword: str
     regex: str
 
 
@@ -74,57 +73,120 @@ NAMES = (
 )
 #: Words a license's name and number may be parted by.
 _VERSION = r"(?:(?: software)?(?: licen[cs]e)?(?: version| v)?)"
-# Label, regex, keyword of long forms and notices.
+# Label and regex of long forms and notices.
 NOTICES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software.{0,200}? licen[cs]e", "hereby"),
-    ("gpl-2", "gnu general public licen[cs]e(?: gpl)?(?: as published by the free software foundation)?(?: either)?(?: version| v)? 2", "gnu"),
-    ("gpl-3", "gnu general public licen[cs]e(?: gpl)?(?: as published by the free software foundation)?(?: either)?(?: version| v)? 3", "gnu"),
-    ("gpl", "gnu general public licen[cs]e", "gnu"),
-    ("lgpl-2.1", "gnu (?:lesser|library) general public licen[cs]e(?: version| v)? 2(?: 1)?", "gnu"),
-    ("lgpl-3", "gnu (?:lesser|library) general public licen[cs]e(?: version| v)? 3", "gnu"),
-    ("lgpl", "gnu (?:lesser|library) general public licen[cs]e", "gnu"),
-    ("agpl-3", "gnu affero general public licen[cs]e(?:(?: version| v)? 3)?", "gnu"),
-    ("apache-2", "apache licen[cs]e(?: version| v)? 2(?: 0)?", "apache"),
-    ("apache-2", "www apache org licenses license 2 0", "apache"),
-    ("cc0-1", "(?:creative commons (?:cc0|zero)|cc0)(?: 1 0)?(?: universal)?", "c"),
-    ("public-domain", "(?:released in(?:to)?|dedicated to|in) the public domain", "public domain"),
-    ("all-rights-reserved", "copyright .{1,80}? all rights reserved", "rights reserved"),
-    ("proprietary", "(?:proprietary|commercial|end user) licen[cs]e(?: agreement)?", "licen"),
-    ("eula", "end user licen[cs]e agreement", "end user"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("gpl-2", "gnu general public licen[cs]e(?: gpl)?(?: as published by the free software foundation)?(?: either)?(?: version| v)? 2"),
+    ("gpl-3", "gnu general public licen[cs]e(?: gpl)?(?: as published by the free software foundation)?(?: either)?(?: version| v)? 3"),
+    ("gpl", "gnu general public licen[cs]e"),
+    ("lgpl-2.1", "gnu (?:lesser|library) general public licen[cs]e(?: version| v)? 2(?: 1)?"),
+    ("lgpl-3", "gnu (?:lesser|library) general public licen[cs]e(?: version| v)? 3"),
+    ("lgpl", "gnu (?:lesser|library) general public licen[cs]e"),
+    ("agpl-3", "gnu affero general public licen[cs]e(?:(?: version| v)? 3)?"),
+    ("apache-2", "apache licen[cs]e(?: version| v)? 2(?: 0)?"),
+    ("apache-2", "www apache org licenses license 2 0"),
+    ("cc0-1", "(?:creative commons (?:cc0|zero)|cc0)(?: 1 0)?(?: universal)?"),
+    ("public-domain", "(?:released in(?:to)?|dedicated to|in) the public domain"),
+    ("all-rights-reserved", "copyright .{1,80}? all rights reserved"),
+    ("proprietary", "(?:proprietary|commercial|end user) licen[cs]e(?: agreement)?"),
+    ("eula", "end user licen[cs]e agreement"),
 )
 # Creative Commons variants.
 CC = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
 CC_LONG = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s"}
 
-#: What every rule and every base phrase has in the raw text, so that other texts need no further look.
-GATE = "[Ll][Ii][Cc][Ee][Nn]|[Gg][Pp][Ll]|[Ww][Tt][Ff][Pp]|[Cc][Cc][Oo0\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]|[Cc][Oo][Mm][Mm][Oo][Nn][Ss]|[Dd][Oo][Mm][Aa][Ii][Nn]|[Rr][Ee][Ss][Ee][Rr][Vv][Ee][Dd]"
-
 # Base phrases and labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 
-def _key(name: str) -> str:
-    """A word that occurs in every match of the name."""
-    plain = [w for w in name.replace("(?: ", "( ").split() if w.isalnum()]
-    return max(plain, key=len) if plain and "|" not in name and "?" not in name else "licen"
+def _close(regex: str, at: int) -> int:
+    """The place after the bracket that closes the one there."""
+    depth = 0
+    for i in range(at, len(regex)):
+        depth += (regex[i] == "(") - (regex[i] == ")")
+        if not depth:
+            return i + 1
+    raise ValueError(regex)
+
+
+def _branches(regex: str) -> list[str]:
+    out, depth = [""], 0
+    for c in regex:
+        depth += (c == "(") - (c == ")")
+        out = [*out, ""] if c == "|" and not depth else [*out[:-1], out[-1] + c]
+    return out
+
+
+def needed(regex: str) -> list[tuple[str, ...]]:
+    """Clauses of literals; in every match each clause has a literal that occurs. For the constructs that the rules use."""
+    clauses: list[tuple[str, ...]] = []
+    literal, i = "", 0
+
+    def end() -> None:
+        nonlocal literal
+        if len(literal) > 2:
+            clauses.append((literal,))
+        literal = ""
+
+    while i < len(regex):
+        group = regex[i] == "("
+        stop = _close(regex, i) if group else regex.index("]", i) + 1 if regex[i] == "[" else i + 1
+        atom, after = regex[i:stop], regex[stop : stop + 1]
+        quantified = after in ("?", "*", "+", "{") and after != ""
+        optional = after in ("?", "*") or regex[stop : stop + 2] == "{0"
+        if quantified:
+            stop = regex.index("}", stop) + 1 if after == "{" else stop + 1
+            stop += regex[stop : stop + 1] == "?"
+        if not group and not quantified and atom[0] not in "[.":
+            literal += atom
+        else:
+            end()
+            if group and not optional:
+                inner = [needed(x) for x in _branches(atom.removeprefix("(?:")[:-1])]
+                if all(inner):
+                    clauses.append(tuple(dict.fromkeys(max((c[0] for c in x if len(c) == 1), key=len, default=x[0][0]) for x in inner)))
+        i = stop
+    end()
+    return clauses
+
+
+def gate(made: list[Rule]) -> str:
+    """A regex that some place of every text that any rule matches fits: of each rule the clause with the longest literals,
+    but 'licen' where that will do. Literals that can only stand at a word's start are tried there only."""
+    start, inside = set(), set()
+    for rule in made:
+        clauses = [c for c in needed(rule.regex) if c != (" under ",) and "released" not in c]  # these are common words
+        if any(" licen" in f" {c[0]}" for c in clauses if len(c) == 1):
+            start.add("licen")
+            continue
+        for literal in max(clauses, key=lambda c: min(map(len, c))):
+            word = literal.lstrip(" ")
+            (inside if f" ?)?{word}" in rule.regex else start).add(word)  # after an optional space a word may have begun before
+    start = {x for x in start if not any(x != y and x.startswith(y) for y in start)}
+    by: dict[str, list[str]] = {}
+    for x in sorted(start):
+        by.setdefault(x[0], []).append(x[1:])
+    heads = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items())
+    return "|".join([f" (?:{heads})", *sorted(inside)])
 
 
 def rules() -> list[Rule]:
     out = []
     for label, name, spdx in NAMES:
-        key = _key(name)
-        out.append(Rule(label, 4, spdx.split()[0], f"spdx license identifier {spdx}(?: only| or later)?"))
-        out.append(Rule(label, 3, "licen", f"(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{name}(?: licen[cs]e)?" if "licen" in key or "gpl" in name else f"(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{name} licen[cs]e"))
-        out.append(Rule(label, 2, "licen", f"{name}{'' if 'licen' in name else ' licen[cs]e'}"))
-        out.append(Rule(label, 2, "licen", f"licen[cs]ed? {name}"))
-        out.append(Rule(label, 4, "licenses", f"opensource org licenses {spdx.replace(' 0', '(?: 0)?')}"))
+        under = f"(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{name}"
+        plain = "|" not in name and "?" not in name
+        out.append(Rule(label, 4, f"spdx license identifier {spdx}(?: only| or later)?"))
+        out.append(Rule(label, 3, f"{under} licen[cs]e" if plain and "licen" not in name else f"{under}(?: licen[cs]e)?"))
+        out.append(Rule(label, 2, f"{name}{'' if 'licen' in name else ' licen[cs]e'}"))
+        out.append(Rule(label, 2, f"licen[cs]ed? {name}"))
+        out.append(Rule(label, 4, f"opensource org licenses {spdx.replace(' 0', '(?: 0)?')}"))
         if name.endswith("public"):
-            out.append(Rule(label, 3, "public", f"{name}{_VERSION} {spdx.split(' ', 1)[1]}" if " " in spdx and "licen" in name else f"{name} licen[cs]e(?: version| v)? [0-9]+"))
-    out += [Rule(label, 4, key, regex) for label, regex, key in NOTICES]
+            out.append(Rule(label, 3, f"{name}{_VERSION} {spdx.split(' ', 1)[1]}" if " " in spdx and "licen" in name else f"{name} licen[cs]e(?: version| v)? [0-9]+"))
+    out += [Rule(label, 4, regex) for label, regex in NOTICES]
     for kind in CC:
         label, long = f"cc-{kind.replace(' ', '-')}", " ".join(CC_LONG[x] for x in kind.split())
-        out.append(Rule(label, 3, "cc", f"cc {kind}"))
-        out.append(Rule(label, 4, "cc", f"cc {kind} [1-4](?: [0-9])?"))
-        out.append(Rule(label, 4, "commons", f"creative commons {long}(?: (?:international|[1-4](?: 0)?|licen[cs]e))*"))
-        out.append(Rule(label, 4, "creativecommons", f"creativecommons org licenses {kind}"))
+        out.append(Rule(label, 3, f"cc {kind}"))
+        out.append(Rule(label, 4, f"cc {kind} [1-4](?: [0-9])?"))
+        out.append(Rule(label, 4, f"creative commons {long}(?: (?:international|[1-4](?: 0)?|licen[cs]e))*"))
+        out.append(Rule(label, 4, f"creativecommons org licenses {kind}"))
     return out

@@ -10,7 +10,7 @@ import pytest
 from common import edge_docs, edge_rows, empty_docs
 from conftest import SF
 from lakeweave.llm import bpe, lanes, language_id, license_scan, near_dedup, quality
-from lakeweave.llm.license_rules import BASE, GATE, rules
+from lakeweave.llm.license_rules import BASE, gate, needed, rules
 from lakeweave.llm.queries import tokenizer
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -333,9 +333,16 @@ LICENSES = [
 ]
 
 
+#: Notices as whole documents, without the word that most of them have.
+BARE = [
+    "This program is distributed under the GPL v3.", "Released under Apache 2.0.", "provided under the terms of the new BSD", "Published under the Mozilla Public 2.0", "available under the zlib/libpng",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "released under the OpenRAIL-M", "under the M\u0130T license \u212a under the MIT L\u0130CENSE", "\u00c9T\u00c9 under the MIT license \u00dcBER",
+]
+
+
 @pytest.mark.parametrize("which", ["edge", "sf", "licenses"])
 def test_license_scan(spark, which):
-    docs = spark.createDataFrame(list(enumerate(LICENSES)), "doc_id long, text string") if which == "licenses" else docs_of(spark, which)
+    docs = spark.createDataFrame(list(enumerate(LICENSES + BARE)), "doc_id long, text string") if which == "licenses" else docs_of(spark, which)
     want = [(r.doc_id, *scanned(r.text)) for r in docs.collect()]
     got = [tuple(r) for r in license_scan.license_scan(docs).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
@@ -346,6 +353,60 @@ def test_license_rules():
     assert len(made) > 200 and len(set(made)) == len(made) and {r.priority for r in made} <= {1, 2, 3, 4}
     found = {x for t in LICENSES for x in scanned(t)[5].split(",")}
     assert {"mit", "apache-2", "gpl-3", "lgpl-2.1", "cc-by-nc", "cc0-1", "cc-by-sa", "bsd-3-clause", "zlib", "mpl-2", "public-domain", "all-rights-reserved", "wtfpl"} <= found
-    for text in LICENSES:
-        if scanned(text)[5]:
-            assert re.search(GATE, text)
+    assert {"gpl-3", "apache-2", "bsd-3-clause"} <= {x for t in BARE for x in scanned(t)[5].split(",")}
+
+
+def test_license_keywords():
+    """Every match of every rule has the rule's keywords and passes the gate: sample matches made from the regexes."""
+    import random
+
+    r, made = random.Random(1), rules()
+    passes = re.compile(gate(made))
+
+    def sample(regex):
+        if len(parts := branches(regex)) > 1:
+            return sample(r.choice(parts))
+        out, i = "", 0
+        while i < len(regex):
+            if regex[i] == "(":
+                depth, j = 0, i
+                while True:
+                    depth += (regex[j] == "(") - (regex[j] == ")")
+                    j += 1
+                    if not depth:
+                        break
+                atom, i = (lambda body=regex[i + 3 : j - 1]: sample(body)), j
+            elif regex[i] == "[":
+                j = regex.index("]", i)
+                body = regex[i + 1 : j]
+                letters = body if "-" not in body else "".join(map(chr, range(ord(body[0]), ord(body[2]) + 1)))
+                atom, i = (lambda x=letters: r.choice(x)), j + 1
+            else:
+                atom, i = (lambda x=regex[i]: "q" if x == "." else x), i + 1
+            low, high = 1, 1
+            if regex[i : i + 1] in ("?", "*", "+"):
+                low, high = {"?": (0, 1), "*": (0, 2), "+": (1, 2)}[regex[i]]
+                i += 1
+            elif regex[i : i + 1] == "{":
+                low, high = map(int, regex[i + 1 : regex.index("}", i)].split(","))
+                i = regex.index("}", i) + 1 + (regex[regex.index("}", i) + 1 :][:1] == "?")
+            out += "".join(atom() for _ in range(r.randint(low, min(high, low + 3))))
+        return out
+
+    def branches(regex):
+        out, depth = [""], 0
+        for c in regex:
+            depth += (c == "(") - (c == ")")
+            if c == "|" and not depth:
+                out.append("")
+            else:
+                out[-1] += c
+        return out
+
+    for rule in made:
+        assert needed(rule.regex), rule
+        for _ in range(12):
+            text = f" x {sample(rule.regex)} y "
+            assert re.search(f" {rule.regex}(?= )", text), (rule, text)
+            assert passes.search(text), (rule, text)
+            assert all(any(x in text for x in clause) for clause in needed(rule.regex)), (rule, text)

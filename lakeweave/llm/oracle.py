@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import BUDGETS, FINER
+from .url_filter import _TAG, _VALUE, ENTITIES
 
 OP1 = rf"""
 with docs as (
@@ -39,27 +40,58 @@ select doc_id, size, source_size, target, (size * (whole + sel::int))::bigint as
 
 _HOST = r"translate(coalesce(regexp_extract({u}, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"coalesce(regexp_extract({u}, '://[^/?#]*([^?#]*)', 1), '')"
+_PARTS = "string_split(" + _PATH + ", '/')"
+_PLAIN = (
+    "regexp_replace(array_to_string(list_reduce(list_transform(" + _PARTS + "[2:], lambda p: [p]), "
+    "lambda kept, p: case when p[1] = '.' then kept when p[1] = '..' then kept[1:greatest(len(kept) - 1, 1)] else list_concat(kept, p) end, " + _PARTS + "[1:1]), '/'), '/+$', '')"
+)
 _KEY = (
-    "case when " + _HOST + " <> '' then " + _HOST + " || regexp_replace(" + _PATH + ", '/+$', '') || "
+    "case when " + _HOST + " <> '' then " + _HOST + " || " + _PLAIN + " || "
     r"coalesce('?' || nullif(array_to_string(list_filter(string_split(coalesce(regexp_extract({u}, '://[^?#]*\?([^#]*)', 1), ''), '&'), lambda x: x <> '' and not starts_with(x, 'utm_')), '&'), ''), '') end"
 )
-_TARGET = "case when {l} like '%://%' then {l} when {l} like '//%' then 'http:' || {l} when {l} like '/%' then 'http://' || host || {l} end"
+
+
+_QUOTES = "^[\"']|[\"']$"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _attribute(name: str) -> str:
+    value = f"regexp_replace(regexp_extract(tag, {_quoted(_VALUE.format(name))}, 1), {_quoted(_QUOTES)}, '', 'g')"
+    for entity, plain in ENTITIES:
+        value = f"replace({value}, {_quoted(entity)}, {_quoted(plain)})"
+    return f"trim({value})"
+
+
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.\\-]*:"
 OP3 = rf"""
 with recursive d as (
-  select page_id, {_HOST.format(u="url")} as host, {_PATH.format(u="url")} as path, {_KEY.format(u="url")} as spot,
-         nullif(regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), '') as l1,
-         nullif(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1), '') as l2
-  from pages),
-t as (select *, {_TARGET.format(l="l1")} as t1, {_TARGET.format(l="l2")} as t2 from d),
+  select page_id, {_HOST.format(u="url")} as host, {_PATH.format(u="url")} as path, {_KEY.format(u="url")} as spot, html from pages),
+tags as (
+  select host, path, spot, unnest(regexp_extract_all(html, {_quoted(_TAG.format("link"))})) as tag, 1 as kind from d
+  union all select host, path, spot, unnest(regexp_extract_all(html, {_quoted(_TAG.format("meta"))})), 2 from d),
+found as (
+  select host, path, spot, case when kind = 1 then {_attribute("href")} else regexp_extract({_attribute("content")}, '(?is)url\s*=\s*["'']?([^"''\s]+)', 1) end as link
+  from tags where case when kind = 1 then regexp_matches(lower({_attribute("rel")}), '(^|\s)canonical(\s|$)') else lower({_attribute("http-equiv")}) = 'refresh' end),
+t as (
+  select spot, case when link = '' or starts_with(link, '#') or host = '' then null
+                    when regexp_matches(link, '{_SCHEME}') then case when regexp_matches(link, '{_SCHEME}//') then link end
+                    when starts_with(link, '//') then 'http:' || link
+                    when starts_with(link, '/') then 'http://' || host || link
+                    when starts_with(link, '?') then 'http://' || host || path || link
+                    else 'http://' || host || regexp_replace(case when path = '' then '/' else path end, '[^/]*$', '') || link end as target from found),
+k as (select spot, {_KEY.format(u="target")} as other from t),
 j as (
-  select page_id, host, path, spot, {_KEY.format(u="t1")} as k1, {_KEY.format(u="t2")} as k2,
+  select page_id, host, path, spot,
          case when (host = 'www.example.com' or ends_with(host, '.www.example.com')) and starts_with(path, '/en/') then 'www.example.com/en/'
               when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/') then 'example.com/en/'
               when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
               when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
-              when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end as rule from t),
+              when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end as rule from d),
 v as (select *, case when rule in ('www.example.com/en/', 'com/') then 'allow' when rule is not null then 'block' end as own from j),
-e as (select spot as a, k1 as b from v where spot <> k1 union select spot, k2 from v where spot <> k2),
+e as (select distinct spot as a, other as b from k where spot <> other),
 sym as (select a, b from e union select b, a from e),
 reach as (select a, b from sym union select r.a, s.b from reach r join sym s on r.b = s.a),
 bad as (select distinct spot from v where own = 'block' and spot is not null),

@@ -222,6 +222,33 @@ def test_url_filter(spark):
     assert url_filter.url_filter(frame.limit(0)).count() == 0
 
 
+def test_url_links(spark, duck):
+    """Relative links, entities, attribute orders, several tags: each page is an alias of a blocked one."""
+    blocked = "http://b.net/es/deep/page?x=1&y=2"
+    cases = {
+        10: ("http://b.net/en/a/b", '<link rel="canonical" href="../../es/deep/page?x=1&amp;y=2">'),
+        11: ("http://b.net/en/a/", "<link href='/es/deep/./x/../page?x=1&#38;y=2' data-x=1 rel='nofollow Canonical'>"),
+        12: ("http://c.org/1", '<meta content="0; URL=\'//B.NET/es/deep/page?x=1&amp;y=2\'" http-equiv="Refresh">'),
+        13: ("http://c.org/2", f'<link rel=canonical href=http://d.org/x><link rel="canonical" href="{blocked}#top">'),
+        14: ("http://c.org/3/go", '<meta http-equiv=refresh content="5;url=1"><meta http-equiv="refresh" content="3; url=https://b.net/es/deep/page/?utm_a=b&x=1&y=2">'),
+        15: ("http://c.org/3/1", None),  # through 14
+        16: ("http://b.net/en/q", '<link rel="canonical" href="?x=1">'),  # itself, with a query
+        17: ("http://c.org/5", '<link rel="canonical" href="/go?u=http://b.net/es/deep/page?x=1&y=2">'),
+        18: ("http://c.org/6", '<link rel="canonical" href="mailto:a@b.net"><link rel="canonical" href="#es"><link rel="stylesheet" href="http://b.net/es/deep/page?x=1&y=2">'),
+        19: ("http://c.com/7", f'<link rel="canonical" href="{blocked}">'),  # its own allow rule
+        20: ("http://c.org/8", '<link rel="canonical" href="http://c.com/7">'),  # an alias' allow does not outweigh the block
+    }
+    pages = [(1, blocked, None), *((i, u, h) for i, (u, h) in cases.items())]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.url_filter(frame).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {1, 10, 11, 12, 13, 14, 15, 20}
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("pages", frame.toPandas())
+    assert dict(con.sql(f"select page_id, verdict from ({ORACLE['op3_url_filter']})").fetchall()) == got
+
+
 # Nearest neighbours
 def brute(ids, x, k=10):
     ids, x = np.array(ids), np.array(x, float)

@@ -3,11 +3,13 @@
 Each source's target is met by whole copies of all its documents and, for the rest, by the documents whose hash lies
 below a threshold. The threshold is found without sorting: sizes are summed by source and hash bucket, the bucket in
 which the budget ends is found, and only that bucket is refined, by the next digits of the hash. Nested budgets follow:
-what the boundary document leaves open is filled the same way from documents that are no larger.
+what the boundary document leaves open is filled the same way from documents that are no larger than what is open, until
+no document left fits into it.
 
 Defined results: a null text has size 0; a null source is a source, last in order; a null key hashes as the text
-'null'; rows of equal key are taken or left together; sources without words have target 0; an empty table gives an
-empty result; other columns are ignored.
+'null'; rows of equal key are taken or left together, as are keys of equal hash (ties); repeated rows count each;
+sources without words have target 0; an empty table gives an empty result; other columns, whatever their names, are
+ignored, or kept by mixed_rows(); texts are counted whole.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .store import broadcast_below, drop, keep
+from .store import broadcast_below, keep, read_all
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Production parameters: weights by a source's place, share of all words, most copies of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-#: Digits of the hash: LEVELS steps of STEP bits. Budgets: the first over all, each next over documents of at most 1 / FINER of what is open.
-STEP, LEVELS, BUDGETS, FINER = 12, 5, 4, 1
+#: Digits of the hash: LEVELS steps of STEP bits.
+STEP, LEVELS = 12, 5
 BITS = STEP * LEVELS
 #: Per-source figures are broadcast up to so many sources (some 20 MB); beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 100_000
@@ -33,13 +35,25 @@ def hash60(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
+def _numbered(sources: DataFrame) -> DataFrame:
+    """sources with `number`, from 0 in order of skey: ranges are numbered alone, one count a range reaches the driver."""
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keep(sources.repartitionByRange(tasks, "skey").withColumn("pid", F.spark_partition_id()), "mix-sources")
+    offsets, total = [F.lit(-1), F.lit(0).cast("long")], 0
+    for pid, n in sorted(dealt.groupBy("pid").count().collect()):
+        offsets += [F.lit(pid), F.lit(total).cast("long")]
+        total += n
+    place = F.row_number().over(W.partitionBy("pid").orderBy("skey")) - 1
+    return dealt.withColumn("number", F.element_at(F.create_map(*offsets), F.col("pid")) + place).drop("pid")
+
+
 def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """sources (skey, source_size) -> with target: shares by weight, capped at `most` times the size, the excess reshared.
 
     The level (words per unit of weight) only rises as sources reach their cap; each round is one aggregate.
     """
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod(F.row_number().over(W.orderBy("skey")) - 1, F.lit(len(weights))) + 1).cast("int"))
-    table = keep(sources.withColumn("weight", w), "mix-sources")
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod("number", F.lit(len(weights))) + 1).cast("int"))
+    table = keep(_numbered(sources).withColumn("weight", w).drop("number"), "mix-weights")
     total = table.agg(F.sum("source_size")).first()[0] or 0
     level, capped = 0.0, -1
     while True:
@@ -52,37 +66,36 @@ def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> Data
 
 
 def _thresholds(rows: DataFrame, budgets: DataFrame, n: int) -> DataFrame:
-    """Per source: the largest hash threshold below which sizes stay within the budget, and their sum.
+    """Per source with rows: the largest hash threshold below which sizes stay within the budget, and their sum.
 
     rows (skey, h, size); budgets (skey, budget). Returns (skey, thr, got); thr is 2**BITS where all rows fit.
     """
-    state = budgets.select("skey", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("got"), F.lit(None).cast("long").alias("thr"))
-    held = None
+    state, found = budgets.select("skey", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("got")), []
+    before = F.coalesce(F.sum("s").over(W.partitionBy("skey").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     for level in range(LEVELS):
         shift = BITS - STEP * (level + 1)
-        inside = rows.join(broadcast_below(state.where("thr is null"), n, BROADCAST_SOURCES), "skey").where(F.shiftright("h", shift + STEP) == F.col("prefix"))
-        bins = inside.groupBy("skey", F.shiftright("h", shift).alias("bin")).agg(F.sum("size").alias("s"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-        bins = bins.withColumn("before", F.coalesce(F.sum("s").over(W.partitionBy("skey").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        inside = rows.join(broadcast_below(state, n, BROADCAST_SOURCES), "skey").where(F.shiftright("h", shift + STEP) == F.col("prefix"))
+        bins = inside.groupBy("skey", "budget", "got", F.shiftright("h", shift).alias("bin")).agg(F.sum("size").alias("s"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         # The boundary is the first bin that oversteps; without one, all rows of the source (or of the bin above) fit.
-        over = bins.join(broadcast_below(state.where("thr is null").select("skey", "budget", "got"), n, BROADCAST_SOURCES), "skey").where("got + before <= budget and got + before + s > budget")
-        edge = over.groupBy("skey").agg(F.min(F.struct("bin", "before", "lo", "hi")).alias("e"))
-        fits = bins.groupBy("skey").agg(F.sum("s").alias("all"))
-        found = state.join(edge, "skey", "left").join(fits, "skey", "left")
+        over = (F.col("got") + F.col("before") <= F.col("budget")) & (F.col("got") + F.col("before") + F.col("s") > F.col("budget"))
+        edges = bins.withColumn("before", before).groupBy("skey", "budget", "got").agg(F.min(F.when(over, F.struct("bin", "before", "lo", "hi"))).alias("e"), F.sum("s").alias("all"))
         one = (F.col("e.lo") == F.col("e.hi")) | F.lit(level == LEVELS - 1)
-        new = found.select(
-            "skey",
-            "budget",
-            F.coalesce("e.bin", "prefix").alias("prefix"),
-            F.when(F.col("thr").isNotNull(), F.col("got")).when(F.col("e").isNotNull(), F.col("got") + F.col("e.before")).otherwise(F.col("got") + F.coalesce("all", F.lit(0))).alias("got"),
-            F.when(F.col("thr").isNotNull(), F.col("thr")).when(F.col("e").isNull(), F.lit(1 << BITS)).when(one, F.col("e.lo")).alias("thr"),
+        found.append(
+            keep(
+                edges.select(
+                    "skey",
+                    "budget",
+                    F.col("e.bin").alias("prefix"),
+                    (F.col("got") + F.when(F.col("e").isNull(), F.col("all")).otherwise(F.col("e.before"))).alias("got"),
+                    F.when(F.col("e").isNull(), F.lit(1 << BITS)).when(one, F.col("e.lo")).alias("thr"),
+                ),
+                "mix-thresholds",
+            )
         )
-        after = keep(new, "mix-thresholds")
-        if held is not None:
-            drop(held)
-        state = held = after
-        if not state.where("thr is null").limit(1).count():
+        state = found[-1].where("thr is null").select("skey", "budget", "prefix", "got")
+        if not state.limit(1).count():
             break
-    return state.select("skey", "thr", "got")
+    return read_all(found).where("thr is not null").select("skey", "thr", "got")
 
 
 def _keyed(docs: DataFrame, seed: str, key: str, text: str, source: str) -> list[Column]:
@@ -93,17 +106,27 @@ def _keyed(docs: DataFrame, seed: str, key: str, text: str, source: str) -> list
 
 def plan_mix(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> tuple[DataFrame, Column]:
     """rows (skey, size, h) -> figures by source, to be joined to rows on skey, and the copies of a row by them."""
-    plan = keep(targets(rows.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
-    n = plan.count()
+    plan = targets(rows.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = plan.select("skey", "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("open"))
-    chosen = F.lit(False)
-    for k in range(BUDGETS):
-        plan = plan.withColumn(f"limit{k}", F.lit(float("inf")) if k == 0 else F.col("open") / FINER)
-        left = rows.where("size > 0").join(broadcast_below(plan, n, BROADCAST_SOURCES), "skey").where(~chosen & (F.col("size") <= F.col(f"limit{k}")))
-        found = _thresholds(left.select("skey", "h", "size"), plan.select("skey", F.col("open").alias("budget")), n)
-        plan = keep(plan.join(found, "skey").withColumn("open", F.col("open") - F.col("got")).withColumnRenamed("thr", f"thr{k}").drop("got"), "mix-plan")
-        chosen = chosen | ((F.col("size") <= F.col(f"limit{k}")) & (F.col("h") < F.col(f"thr{k}")))
+    plan = keep(plan.select("skey", "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("open"), F.array().cast("array<struct<most:double,thr:long>>").alias("budgets")), "mix-plan")
+    n = plan.count()
+    left = rows.where("size > 0").select("skey", "size", "h")
+    while True:
+        # Only rows that fit into what is open, and that no budget has taken, go on.
+        fits = left.join(broadcast_below(plan.select("skey", "open", F.element_at("budgets", -1).alias("last")), n, BROADCAST_SOURCES), "skey")
+        fits = fits.where(~F.coalesce((F.col("size") <= F.col("last.most")) & (F.col("h") < F.col("last.thr")), F.lit(False)))
+        if n and plan.where(F.size("budgets") > 0).limit(1).count():
+            left = keep(fits.where("size <= open").select("skey", "size", "h"), "mix-left")
+            if not left.limit(1).count():
+                break
+        found = _thresholds(left, plan.select("skey", F.col("open").alias("budget")), n)
+        first = F.size("budgets") == 0
+        entry = F.struct(F.when(first, F.lit(float("inf"))).otherwise(F.col("open")).alias("most"), F.coalesce("thr", F.lit(0).cast("long")).alias("thr"))
+        after = plan.join(found, "skey", "left").select("skey", "source_size", "target", "whole", (F.col("open") - F.coalesce("got", F.lit(0))).alias("open"), F.array_append("budgets", entry).alias("budgets"))
+        plan = keep(after, "mix-plan")
+        if not n or not left.limit(1).count():
+            break
+    chosen = F.exists("budgets", lambda b: (F.col("size") <= b["most"]) & (F.col("h") < b["thr"])) & (F.col("size") > 0)
     return broadcast_below(plan, n, BROADCAST_SOURCES), F.col("whole") + chosen.cast("long")
 
 

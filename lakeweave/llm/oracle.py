@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from .mixing import BUDGETS, FINER
 from .url_filter import _TAG, _VALUE, ENTITIES
 
+#: Nested budgets of the SQL: beyond those that are needed they take nothing.
+BUDGETS = 14
 OP1 = rf"""
 with docs as (
   select doc_id, source, coalesce('a' || source, 'b') as skey,
@@ -28,7 +29,7 @@ src as (
 r0 as (select d.*, s.source_size, s.target, s.whole, s.target - s.whole * s.source_size as open, false as sel from docs d join src s using (skey)),
 {"".join(f'''
 c{k} as (
-  select *, not sel and size > 0 {f"and size <= open / {FINER}" if k else ""} as ok from r{k}),
+  select *, not sel and size > 0 {"and size <= open" if k else ""} as ok from r{k}),
 s{k} as (
   select *, ok and sum(case when ok then size else 0 end) over (partition by skey order by h range between unbounded preceding and current row) <= open as now from c{k}),
 r{k + 1} as (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +54,10 @@ def drop(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that nobody holds any more (else it waits for the driver's next collection)."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)  # a thread of its own tells the JVM what Python has dropped
+        spark._jvm.System.gc()
 
 
 def broadcast_below(df: DataFrame, rows: int, limit: int):

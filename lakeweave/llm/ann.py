@@ -80,12 +80,15 @@ class Block:
         self.x, self.entry, self.place = columns["x"].reshape(-1, width), columns["entry"].astype(np.int64), columns["place"].astype(np.int64)
         self.first = np.searchsorted(self.of, np.arange(len(self.x) + 1))
         self.m = len(self.entry) // max(len(self.x), 1)
+        self.unique = len(np.unique(self.ids)) == len(self.ids)
 
     @classmethod
     def build(cls, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int) -> "Block":
         entry, first, which = np.unique(np.ascontiguousarray(x).view(f"V{x.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
         order = np.lexsort((ids, which))
-        place = np.arange(len(ids)) - np.searchsorted(which[order], which[order])
+        again = np.concatenate([[False], (ids[order[1:]] == ids[order[:-1]]) & (which[order[1:]] == which[order[:-1]])])
+        order = order[~again]  # a row that is repeated counts once
+        place = np.arange(len(order)) - np.searchsorted(which[order], which[order])
         held = order[place <= k]  # of equal vectors no more than k + 1 can be in an answer
         perm = _orders(x[first], pivots)
         flat, m = perm.ravel(), perm.shape[1]
@@ -115,7 +118,7 @@ class Block:
             part = np.partition(rule, [c - 1, high])
             near = np.flatnonzero(rule <= max(part[c - 1], CLOSE * part[high]))
         score = np.sqrt(((self.x[near] - query) ** 2).sum(1))
-        if len(near) > 2 * k + 2:
+        if self.unique and len(near) > 2 * k + 2:
             cut = np.partition(score, k + 1)[k + 1]  # one more than k, as one entry may be the query's own
             near, score = near[score <= cut], score[score <= cut]
         count = self.first[near + 1] - self.first[near]
@@ -123,8 +126,10 @@ class Block:
         ids, score = self.ids[at], np.repeat(score, count)
         other = ids != own
         ids, score = ids[other], score[other]
-        best = np.lexsort((ids, score))[:k]
-        return ids[best], score[best]
+        best = np.lexsort((ids, score))
+        if not self.unique:  # an id with several vectors counts once, at the nearest
+            best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
+        return ids[best[:k]], score[best[:k]]
 
 
 _INDEX = "block int, width int, " + ", ".join(f"{c} binary" for c in Block.COLUMNS)

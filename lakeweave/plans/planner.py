@@ -11,6 +11,7 @@ from ..errors import QueryError
 from ..functions import AGGREGATES, TABLES, WINDOWS
 from ..functions.typed import Typed, common
 from ..sql import tree as t
+from .dealing import Dealt, dealt_windows
 from .lower import Lowering, constant, needs_order
 from .relation import INNER, Field, Relation, fresh
 
@@ -163,6 +164,7 @@ class Planner:
             hidden = fresh()
             rel = rel.over(rel.frame.withColumn(hidden, F.monotonically_increasing_id()))
         rel, known = self.whole_windows(rel, exprs, known)
+        rel, known = self.dealt_windows(rel, exprs, known, hidden)
         lower = Lowering(rel, self.fold, known, hidden)
         fields, cols = [], []
         for n, item in enumerate(items, 1):
@@ -283,3 +285,55 @@ class Planner:
             aggs.append(made.col.alias(name))
             known[x] = Typed(F.col(name), made.kind)
         return rel.over(rel.frame.crossJoin(F.broadcast(rel.frame.agg(*aggs)))), known
+
+    def dealt_windows(self, rel: Relation, exprs: list[t.Expr], known: dict, hidden: str | None):
+        """All other windows whose function says how: dealt by range, so that no task holds a whole partition."""
+
+        def bounds(x: t.Over) -> tuple[int | None, int | None]:
+            if x.name == "ROW_NUMBER":
+                return None, 0
+            if not WINDOWS[x.name].framed:  # LAG and LEAD
+                n = x.args[1].value if len(x.args) > 1 else 1
+                return (-n, 0) if x.name == "LAG" else (0, n)
+            return x.frame or (None, None)
+
+        def fits(x) -> bool:
+            if not isinstance(x, t.Over) or x in known or x.name not in WINDOWS:
+                return False
+            function = WINDOWS[x.name]
+            if any(isinstance(y, t.Over) for c in t.children(x) for y in t.walk(c)):
+                return False
+            return function.framed or x.name in ("ROW_NUMBER", "LAG", "LEAD")
+
+        found = list(dict.fromkeys(x for e in exprs for x in t.walk(e) if fits(x)))
+        frame, lower, known, names = rel.frame, Lowering(rel, self.fold, known), dict(known), {}
+        groups: dict[tuple, list[Dealt]] = {}
+
+        def column(e: t.Expr) -> str:
+            nonlocal frame
+            if e not in names:
+                names[e] = rel.find(e.name, e.table, self.fold).inner if isinstance(e, t.Column) and e not in known else fresh()
+                if names[e] not in frame.columns:
+                    frame = frame.withColumn(names[e], lower(e).col)
+            return names[e]
+
+        for x in found:
+            function = WINDOWS[x.name]
+            args = [] if x.name in ("ROW_NUMBER", "COUNT") else [lower(a) for a in x.args]
+            made, name = function.make(args), fresh()
+            low, high = bounds(x)
+            if None in (low, high) and (function.merge is None or function.framed and self._decimal_mean(frame, x, made)):
+                continue
+            named = [a if isinstance(e, t.Literal) else Typed(F.col(column(e)), a.kind) for a, e in zip(args, x.args)]
+            order = tuple((column(k.expr), k.descending) for k in x.order) or (((hidden, False),) if hidden else ())
+            key = tuple(column(p) for p in x.partition), order
+            groups.setdefault(key, []).append(Dealt(name, function.make(named).col, [a.col for a in named], low, high, function.merge, function.framed))
+            known[x] = Typed(F.col(name), made.kind)
+        for (partition, order), calls in groups.items():
+            frame = dealt_windows(frame, list(partition), list(order), calls)
+        return rel.over(frame), known
+
+    @staticmethod
+    def _decimal_mean(frame, x: t.Over, made: Typed) -> bool:
+        """Means of decimals are decimals, which sums of doubles don't give."""
+        return x.name in ("AVG", "MEAN") and frame.select(made.col).dtypes[0][1].startswith("decimal")
